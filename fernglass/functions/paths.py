@@ -58,4 +58,4 @@ def glob_match(path: Column, pattern: str) -> Column:
 def depth_below(path: Column, directory: str) -> Column:
     """Number of segments between ``directory`` and the file name."""
     below = F.substring(path, F.lit(len(directory) + 1), F.length(path)) if directory else path
-    return F.size(F.split(F.ltrim(F.lit("/"), below) if directory else below, "/")) - 1
+    return F.size(F.split(F.ltrim(below, F.lit("/")) if directory else below, "/")) - 1

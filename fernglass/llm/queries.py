@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from fernglass.llm import q_percentiles
+from fernglass.llm import q_percentiles, q_splitting
 
-_ALL = (q_percentiles,)
+_ALL = (q_percentiles, q_splitting)
 QUERIES = {k: v for m in _ALL for k, v in m.QUERIES.items()}
 ORACLE = {k: v for m in _ALL for k, v in m.ORACLE.items()}

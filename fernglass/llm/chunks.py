@@ -16,7 +16,7 @@ def in_force(chunks: DataFrame, columns: dict[str, Column], *, where: Column | N
     are dropped.
     """
     at = F.coalesce(F.col("file_mtime").cast("double"), F.lit(float("-inf")))
-    latest = chunks.filter("chunk_id is not null").select("chunk_id", F.struct(at.alias("at"), *[v.alias(k) for k, v in columns.items()]).alias("s")).groupBy("chunk_id").agg(F.max("s").alias("s"))
+    latest = chunks.filter("chunk_id is not null").select("chunk_id", F.struct(at.alias("in force at"), *[v.alias(k) for k, v in columns.items()]).alias("s")).groupBy("chunk_id").agg(F.max("s").alias("s"))
     out = latest.select("chunk_id", *[F.col(f"s.{k}").alias(k) for k in columns])
     return out if where is None else out.filter(where)
 

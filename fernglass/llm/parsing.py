@@ -26,10 +26,19 @@ from pyspark.sql.window import Window
 from fernglass.llm.grammar import CONTEXTUAL, KEYWORDS, TYPED, permissible
 from fernglass.llm.lexer import DOUBLE, REGEX, SINGLE
 
-_WORD = "|".join(KEYWORDS)
-_NAME = rf"(?!(?:{_WORD})\b)[\p{{L}}_$#][\w$\p{{L}}]*+(?:\??\.[\p{{L}}_$#][\w$\p{{L}}]*+)*+"
+def _either(words: list[str]) -> str:
+    """Alternation of words, grouped by first letter so that most words are dismissed at once."""
+    heads = sorted({w[0] for w in words})
+    return "|".join(f"{h}(?:{'|'.join(sorted((w[1:] for w in words if w[0] == h), reverse=True))})" for h in heads)
+
+
+_WORD = _either(KEYWORDS)
+_CHAIN = rf"(?!(?:{_WORD})\b)[\p{{L}}_$#][\w$\p{{L}}]*+(?:\??\.[\p{{L}}_$#][\w$\p{{L}}]*+)*+"
 _STRING = rf"{SINGLE[:-1]}|{DOUBLE[:-1]}"
 _NUMBER = r"(?:0[xX][\da-fA-F_]++|0[bB][01_]++|0[oO][0-7_]++|(?:\d[\d_]*+(?:\.[\d_]*+)?+|\.\d[\d_]*+)(?:[eE][+-]?\d++)?+)n?+(?![\w$])"
+_PLAIN = rf"(?:{_CHAIN}(?:\(\))?+|{_STRING}|{_NUMBER})"
+#: A call with plain arguments on one line is one operand; it ends with its closing parenthesis.
+_NAME = rf"{_CHAIN}(?:\((?:{_PLAIN}(?:, {_PLAIN})*+)?+\))?+"
 _ATOM = rf"(?:{_NAME}|{_STRING}|{_NUMBER})"
 #: Operators that join operands into one token; commas too, as lists of operands behave like one operand.
 _JOIN = r"[ ]?(?:,|===|!==|&&|\|\||[+*])[ ]"
@@ -38,13 +47,13 @@ _BEFORE_REGEX = r"(?<=^|[=(,:;!&|?{\[+*%~^>\n]|[=(,:;!&|?{\[+*%~^>\n][ \t]{1,12}
 _PUNCT = r">>>=|\.\.\.|===|!==|\*\*=|<<=|>>=|&&=|\|\|=|\?\?=|=>|==|!=|<=|>=|&&|\|\||\?\?|\?\.(?!\d)|\+\+|--|[-+*/%&|^]=|\*\*|[{}()\[\];,<>+\-*/%&|^!~?:=@]"
 _CONFLICT = r"<{7}(?=[ \r\n])|>{7}(?=[ \r\n])|={7}(?=[ \r\n])|\|{7}(?=[ \r\n])"
 _SPACE = r"(?:[ \t\r\f\x0B\x{A0}\x{FEFF}\x{2028}\x{2029}]++|//[^\n]*+|/\*[\s\S]*?\*/)*+"
-_CORE = rf"{_CONFLICT}|(?:{_WORD})\b|{_ATOM}(?:{_JOIN}{_ATOM})*+|\??\.[\p{{L}}_$#][\w$\p{{L}}]*+(?:\??\.[\p{{L}}_$#][\w$\p{{L}}]*+)*+|{_TEMPLATE}|{_BEFORE_REGEX}{REGEX}|{_PUNCT}|\x04\z|[\s\S]"
+_CORE = rf"{_CONFLICT}|{_ATOM}(?:{_JOIN}{_ATOM})*+|(?:{_WORD})\b|\??\.[\p{{L}}_$#][\w$\p{{L}}]*+(?:\??\.[\p{{L}}_$#][\w$\p{{L}}]*+)*+|{_TEMPLATE}|(?=/){_BEFORE_REGEX}{REGEX}|{_PUNCT}|\x04\z|[\s\S]"
 _BRACES = r"\{[^{}]*+(?:\{[^{}]*+(?:\{[^{}]*+\}[^{}]*+)*+\}[^{}]*+)*+\}"
 _TAG = rf"<[A-Za-z][\w.:-]*+(?=[\s/>])(?!\s+extends\b)(?:\s++[\w:-]++(?:=(?:\"[^\"]*+\"|'[^']*+'|{_BRACES}))?+|\s*+\{{\.\.\.[^{{}}]*+\}})*+\s*+"
 #: The text of an element is part of the tag before it, or of the closing tag when it follows an expression in braces.
 _AFTER = r"(?:[^<>{}();=:]*+(?=</|<[A-Za-z])|[^<>{}();=:\n]*+(?=\{))?+"
 _CLOSE = rf"</(?:[A-Za-z][\w.:-]*+)?+\s*+>{_AFTER}"
-_JSX = rf"{_CLOSE}|(?<=\}}\s{{0,40}})[^<>{{}}();=]++{_CLOSE}|(?<![\w$)\]])(?:<>|{_TAG}>)(?:[^<>{{}}]*+(?=[<{{]))?+|(?<![\w$)\]]){_TAG}/>"
+_JSX = rf"{_CLOSE}|(?=[^<>{{}}();=]++</)(?<=\}}\s{{0,40}})[^<>{{}}();=]++{_CLOSE}|(?<![\w$)\]])(?:<>|{_TAG}>)(?:[^<>{{}}]*+(?=[<{{]))?+|(?<![\w$)\]]){_TAG}/>"
 
 BAD = "BAD"
 PUNCTUATION = (
@@ -65,7 +74,9 @@ def language(path: Column) -> Column:
 def lex_files(files: DataFrame) -> DataFrame:
     """(file_id, lang, pos, tok): line ends and significant tokens of every file with a grammar."""
     text = F.concat(F.lit("\n"), F.regexp_replace(F.col("content"), r"^\x{FEFF}?#![^\n]*", ""), F.lit("\n\x04"))
-    plain, jsx = rf"(\n|{_CORE}){_SPACE}", rf"(\n|{_JSX}|{_CORE}){_SPACE}"
+    # a line end matters only after what can end a statement: after an opening or a separator it is passed over
+    after = rf"{_SPACE}(?:(?<=[;{{(\[,])(?:\n{_SPACE})++)?+"
+    plain, jsx = rf"(\n|{_CORE}){after}", rf"(\n|{_JSX}|{_CORE}){after}"
     rows = files.filter("content is not null").select("file_id", language(F.col("path")).alias("lang"), text.alias("text")).filter("lang is not null")
     tokens = F.when(F.col("lang").isin("tsx", "jsx"), F.regexp_extract_all("text", F.lit(jsx), F.lit(1))).otherwise(F.regexp_extract_all("text", F.lit(plain), F.lit(1)))
     return rows.select("file_id", "lang", F.posexplode(tokens).alias("pos", "tok"))
@@ -81,7 +92,7 @@ def token_class(tok: Column, lang: Column, *, right: bool) -> Column:
     letter = lambda c: c.between("a", "z") | c.between("A", "Z") | c.isin("_", "$", "#") | (c > "~") & c.rlike(r"\p{L}")
     words = tok.isin(*KEYWORDS, *CONTEXTUAL) | (lang.isin("ts", "tsx") & tok.isin(*TYPED))
     end = last if right else first
-    operand = F.when(letter(end), "ID").when(end.between("0", "9"), F.when(letter(first) | tok.contains(" "), "ID").otherwise("NUM") if right else F.lit("NUM")).when(long & end.isin("'", '"'), "STR")
+    operand = F.when(letter(end), "ID").when(end.between("0", "9"), F.when(letter(first) | tok.contains(" "), "ID").otherwise("NUM") if right else F.lit("NUM")).when(long & end.isin("'", '"'), "STR").when(long & (end == ")"), ")")
     element = F.when(tok.contains("</"), "JCLOSE").when(tok.endswith("/>"), "JSELF").otherwise("JTAG")
     return (
         F.when(tok == "\n", F.lit(None).cast("string"))

@@ -82,37 +82,57 @@ def lex_files(files: DataFrame) -> DataFrame:
     return rows.select("file_id", "lang", F.posexplode(tokens).alias("pos", "tok"))
 
 
-def token_class(tok: Column, lang: Column, *, right: bool) -> Column:
-    """Class of a token as its left neighbour (or, with ``right``, its right neighbour) sees it; null for line ends.
+def with_classes(tokens: DataFrame) -> DataFrame:
+    """Adds ``cls`` and ``end``: the class of a token as its left and its right neighbour see it; null for line ends.
 
-    Looks at single characters rather than patterns, as it runs on every token.
+    Runs on every token, so it compares character codes that are taken once,
+    not patterns.
     """
-    first, last, long = F.substring(tok, 1, 1), F.substring(tok, -1, 1), F.length(tok) > 1
-    jsx = lang.isin("tsx", "jsx")
-    letter = lambda c: c.between("a", "z") | c.between("A", "Z") | c.isin("_", "$", "#") | (c > "~") & c.rlike(r"\p{L}")
-    words = tok.isin(*KEYWORDS, *CONTEXTUAL) | (lang.isin("ts", "tsx") & tok.isin(*TYPED))
-    end = last if right else first
-    operand = F.when(letter(end), "ID").when(end.between("0", "9"), F.when(letter(first) | tok.contains(" "), "ID").otherwise("NUM") if right else F.lit("NUM")).when(long & end.isin("'", '"'), "STR").when(long & (end == ")"), ")")
+    tok, lang = F.col("tok"), F.col("lang")
+    known = tok.isin(*KEYWORDS, *CONTEXTUAL) | (lang.isin("ts", "tsx") & tok.isin(*TYPED))
+    rows = tokens.select("*", F.ascii(tok).alias("c1"), F.ascii(F.substring(tok, -1, 1)).alias("c2"), F.length(tok).alias("n"))
+    code = {k: ord(k) for k in "<.?`/'\")\n\x04 "}
+
+    def letter(c: str) -> Column:
+        x = F.col(c)
+        other = F.substring(tok, 1, 1) if c == "c1" else F.substring(tok, -1, 1)
+        return x.between(97, 122) | x.between(65, 90) | x.isin(95, 36, 35) | ((x > 126) & other.rlike(r"\p{L}"))
+
+    def digit(c: str) -> Column:
+        return F.col(c).between(48, 57)
+
+    long = F.col("n") > 1
     element = F.when(tok.contains("</"), "JCLOSE").when(tok.endswith("/>"), "JSELF").otherwise("JTAG")
-    return (
-        F.when(tok == "\n", F.lit(None).cast("string"))
-        .when(jsx & long & (((first == "<") & ~tok.isin("<=", "<<=")) | (tok.contains("</") & tok.rlike(r"^[^'\"`]*</[\w.:-]*\s*>"))), element)
-        .when(letter(first), F.when(words, tok).otherwise(operand))
+    in_jsx = lang.isin("tsx", "jsx") & long & (((F.col("c1") == code["<"]) & ~tok.isin("<=", "<<=")) | (tok.contains("</") & tok.rlike(r"^[^'\"`]*</[\w.:-]*\s*>")))
+    cls = (
+        F.when(F.col("c1") == code["\n"], F.lit(None).cast("string"))
+        .when(in_jsx, element)
+        .when(letter("c1"), F.when(known, tok).otherwise("ID"))
+        .when(digit("c1"), "NUM")
         .when(tok.isin(*PUNCTUATION), tok)
-        .when(long & (first == "."), operand if right else F.when(F.substring(tok, 2, 1).between("0", "9"), "NUM").otherwise("MEM"))
-        .when(long & tok.startswith("?."), operand if right else F.lit("MEM"))
-        .when(long & (first == "`"), "TPL")
-        .when(long & (first == "/"), "RX")
-        .when(tok == "\x04", "END")
-        .otherwise(F.coalesce(operand, F.lit(BAD)))
+        .when(long & (F.col("c1") == code["."]), F.when(F.ascii(F.substring(tok, 2, 1)).between(48, 57), "NUM").otherwise("MEM"))
+        .when(long & (F.col("c1") == code["?"]), "MEM")
+        .when(long & F.col("c1").isin(code["'"], code['"']), "STR")
+        .when(long & (F.col("c1") == code["`"]), "TPL")
+        .when(long & (F.col("c1") == code["/"]), "RX")
+        .when(F.col("c1") == code["\x04"], "END")
+        .otherwise(BAD)
+    )
+    rows = rows.select("*", cls.alias("cls"))
+    end = (
+        F.when(~long | ~F.col("cls").isin("ID", "NUM", "STR", "MEM"), F.col("cls"))
+        .when(letter("c2"), "ID")
+        .when(digit("c2"), F.when((F.col("cls") == "NUM") & ~tok.contains(" "), "NUM").otherwise("ID"))
+        .when(F.col("c2") == code[")"], ")")
+        .when(F.col("c2").isin(code["'"], code['"']), "STR")
+        .otherwise(F.col("cls"))
     )
+    return rows.select("file_id", "lang", "pos", "cls", end.alias("end"))
 
 
 def placed_tokens(files: DataFrame) -> DataFrame:
     """Token rows with their classes, the class before, whether a line end lies between, and the depth before."""
-    rows = lex_files(files)
-    left, right = token_class(F.col("tok"), F.col("lang"), right=False), token_class(F.col("tok"), F.col("lang"), right=True)
-    rows = rows.select("file_id", "lang", "pos", left.alias("cls"), right.alias("end"))
+    rows = with_classes(lex_files(files))
     step = F.when(F.col("cls").isin("(", "[", "{", "JTAG"), 1).when(F.col("cls").isin(")", "]", "}", "JCLOSE"), -1).otherwise(0)
     w = Window.partitionBy("file_id").orderBy("pos")
     before = w.rowsBetween(Window.unboundedPreceding, -1)

@@ -32,11 +32,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share; a local one only where the cluster names none."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named is None:
-        named = f"file://{tempfile.gettempdir()}/fernglass-shared"
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named
+    return spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/fernglass-shared"
 
 
 def materialize(df: DataFrame) -> DataFrame:

@@ -154,7 +154,7 @@ def scan_markdown(text: str, depth: int = HEADING_DEPTH) -> list[tuple[int, int,
     out = []
     if lines and (not heads or any(x.strip() for x in lines[: heads[0][0] - 1])):
         out.append((1, heads[0][0] - 1 if heads else len(lines), None))
-    for (a, path), nxt in zip(heads, [*heads[1:], (len(lines) + 1, "")], strict=True):
+    for (a, path), nxt in zip(heads, [*heads[1:], (len(lines) + 1, "")], strict=False):
         out.append((a, nxt[0] - 1, path))
     # a title with nothing under it before the next section is no section of its own
     titles = [not any(x.strip() for x in lines[a:b]) and len(out) > 1 for a, b, _ in out]

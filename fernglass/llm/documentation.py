@@ -107,7 +107,9 @@ def pair_functions(functions: DataFrame, *, code: bool = True) -> DataFrame:
     placed = tokens.withColumn("nl", newlines(F.col("tok"))).withColumn("line", F.coalesce(F.sum("nl").over(before), F.lit(0)))
     if code:
         placed = placed.withColumn("depth", F.coalesce(F.sum(step).over(before), F.lit(0))).withColumn("start", F.coalesce(F.sum(F.length("tok")).over(before), F.lit(0)))
-    seen = placed.filter("tok <> '\\n' and trim(tok) <> '' and tok <> '\\r'").withColumn("last_line", F.col("line") + F.col("nl"))
+    # the first token stays even if blank, as the source rides on it, but stands on no line
+    blank = F.trim(F.translate("tok", "\n\r\t", "   ")) == ""
+    seen = placed.filter(~blank | (F.col("pos") == 0)).withColumn("last_line", F.when(blank, -1).otherwise(F.col("line") + F.col("nl")))
     lag = lambda c: F.lag(c).over(w)
     comment = F.col("tok").startswith("//") | F.col("tok").startswith("/*")
     seen = seen.withColumn("own", comment & (F.coalesce(lag("last_line"), F.lit(-1)) < F.col("line")))

@@ -41,7 +41,7 @@ _PLAIN = rf"(?:{_CHAIN}(?:\(\))?+|{_STRING}|{_NUMBER})"
 _NAME = rf"{_CHAIN}(?:\((?:{_PLAIN}(?:, {_PLAIN})*+)?+\))?+"
 _ATOM = rf"(?:{_NAME}|{_STRING}|{_NUMBER})"
 #: Operators that join operands into one token; commas too, as lists of operands behave like one operand.
-_JOIN = r"[ ]?(?:,|===|!==|&&|\|\||[+*])[ ]"
+_JOIN = rf"[ ]?(?:,|===|!==|&&|\|\||[+*])[ ](?!(?:{_either([*CONTEXTUAL, *TYPED])})\b)"
 _TEMPLATE = r"`[^`\\$]*+(?:(?:\\[\s\S]|\$(?!\{)|\$\{[^{}`]*+(?:(?:`[^`]*+`|\{[^{}]*+\})[^{}`]*+)*+\})[^`\\$]*+)*+`"
 _BEFORE_REGEX = r"(?<=^|[=(,:;!&|?{\[+*%~^>\n]|[=(,:;!&|?{\[+*%~^>\n][ \t]{1,12}|\breturn[ \t]{1,3}|\btypeof[ \t]{1,3}|\bcase[ \t]{1,3})"
 _PUNCT = r">>>=|\.\.\.|===|!==|\*\*=|<<=|>>=|&&=|\|\|=|\?\?=|=>|==|!=|<=|>=|&&|\|\||\?\?|\?\.(?!\d)|\+\+|--|[-+*/%&|^]=|\*\*|[{}()\[\];,<>+\-*/%&|^!~?:=@]"
@@ -53,7 +53,7 @@ _TAG = rf"<[A-Za-z][\w.:-]*+(?=[\s/>])(?!\s+extends\b)(?:\s++[\w:-]++(?:=(?:\"[^
 #: The text of an element is part of the tag before it, or of the closing tag when it follows an expression in braces.
 _AFTER = r"(?:[^<>{}();=:]*+(?=</|<[A-Za-z])|[^<>{}();=:\n]*+(?=\{))?+"
 _CLOSE = rf"</(?:[A-Za-z][\w.:-]*+)?+\s*+>{_AFTER}"
-_JSX = rf"{_CLOSE}|(?=[^<>{{}}();=]++</)(?<=\}}\s{{0,40}})[^<>{{}}();=]++{_CLOSE}|(?<![\w$)\]])(?:<>|{_TAG}>)(?:[^<>{{}}]*+(?=[<{{]))?+|(?<![\w$)\]]){_TAG}/>"
+_JSX = rf"{_CLOSE}|(?=(?:[^<>{{}}\n]++|[^<>{{}}();=]++)</)(?<=\}}\s{{0,40}})[^<>{{}}]++{_CLOSE}|(?<![\w$)\]])(?:<>|{_TAG}>)(?:[^<>{{}}]*+(?=[<{{]))?+|(?<![\w$)\]]){_TAG}/>"
 
 BAD = "BAD"
 PUNCTUATION = (
@@ -103,7 +103,7 @@ def with_classes(tokens: DataFrame) -> DataFrame:
 
     long = F.col("n") > 1
     element = F.when(tok.contains("</"), "JCLOSE").when(tok.endswith("/>"), "JSELF").otherwise("JTAG")
-    in_jsx = lang.isin("tsx", "jsx") & long & (((F.col("c1") == code["<"]) & ~tok.isin("<=", "<<=")) | (tok.contains("</") & tok.rlike(r"^[^'\"`]*</[\w.:-]*\s*>")))
+    in_jsx = lang.isin("tsx", "jsx") & long & (((F.col("c1") == code["<"]) & ~tok.isin("<=", "<<=")) | (tok.contains("</") & ~F.col("c1").isin(code["'"], code['"'], code["`"], code["/"]) & tok.rlike(r"</[\w.:-]*\s*>[^'\"`]*$")))
     cls = (
         F.when(F.col("c1") == code["\n"], F.lit(None).cast("string"))
         .when(in_jsx, element)

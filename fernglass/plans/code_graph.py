@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from fernglass.functions.paths import canonical_path
 from fernglass.functions.text import pascal_types
+from fernglass.operators import checker as C
 from fernglass.operators import graph as G
 from fernglass.operators.chunks import latest
 from fernglass.plans.graph_orphans import _sql_path
@@ -134,6 +135,22 @@ def rename_impact(spark: SparkSession, sf: str) -> DataFrame:
     return G.rename_impact(edges(spark, sf), s, table(spark, sf, "re_export_files"), names[0].name if names else "")
 
 
+def call_site_verdicts(spark: SparkSession, sf: str) -> DataFrame:
+    """Syntactic verdict of every mention of a called function outside its own file, by symbol."""
+    s = symbols(spark, sf).filter("kind = 'function'").select("symbol_id", "name", F.col("file_path").alias("home"))
+    files = table(spark, sf, "files").filter("deleted_at is null and content is not null and not path like '%.md'").select("path", "content", "mtime")
+    found = C.mentions(files, s).join(s.select("symbol_id", "home"), "symbol_id").filter("file_path <> home")
+    return C.fresh(C.classify(found), files).groupBy("symbol_id", "verdict").agg(F.count("*").alias("n_sites"))
+
+
+def checker_buckets(spark: SparkSession, sf: str) -> DataFrame:
+    """Possible call sites by the package that owns their file."""
+    s = symbols(spark, sf).filter("kind = 'function'").select("symbol_id", "name")
+    files = table(spark, sf, "files").filter("deleted_at is null and content is not null").select("path", "content", "mtime")
+    projects = files.filter("not path like '%.md'").select(F.col("path").alias("file_path"), F.substring_index("path", "/", 1).alias("project"))
+    return C.bucket_projects(C.mentions(files, s), projects)
+
+
 _BASE = f"""s AS (SELECT symbol_id, arg_max(struct_pack(name := name, kind := kind, file_path := file_path, line := line, ordinal := ordinal, is_exported := is_exported), indexed_at) AS x FROM symbols WHERE deleted_at IS NULL GROUP BY symbol_id),
 sy AS (SELECT symbol_id, x.* FROM s), e AS (SELECT from_id, to_id, edge_type, min(edge_id) AS edge_id FROM edges WHERE to_id <> '' GROUP BY ALL),
 ed AS (SELECT DISTINCT e.*, resolution, call_line, context FROM e JOIN edges o USING (edge_id, from_id, to_id, edge_type)),
@@ -148,7 +165,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         graph_direct_callers, graph_transitive_callers, graph_bounded_chain, graph_star_closure_named_wins, graph_in_degree, graph_pagerank, symbol_lookup_exported_first, implementors_with_methods,
-        type_context_priority, edge_resolution_rules, edge_insert_ignore, project_skeleton, dependencies_explode, exports_by_file, honest_page_cap, potential_matches_anti, rename_impact,
+        type_context_priority, edge_resolution_rules, edge_insert_ignore, project_skeleton, dependencies_explode, exports_by_file, honest_page_cap, potential_matches_anti, rename_impact, call_site_verdicts, checker_buckets,
     )
 }
 ORACLE = {
@@ -190,6 +207,10 @@ ORACLE = {
   WHERE CASE WHEN resolution IN ('same_file', 'this_method') THEN d_id WHEN resolution = 'import' THEN v_id WHEN resolution = 'super_method' THEN CASE WHEN i_name IS NOT NULL THEN v_id ELSE d_id END
     WHEN resolution IN ('field_type', 'parameter_type', 'new_expression') THEN coalesce(CASE WHEN i_name IS NOT NULL THEN v_id ELSE d_id END, g_id) ELSE g_id END IS NOT NULL""",
     "edge_insert_ignore": _W + " SELECT * FROM ed",
+    "checker_buckets": _W
+    + """, l AS (SELECT path, unnest(string_split(content, chr(10))) AS t, generate_subscripts(string_split(content, chr(10)), 1) AS i FROM files WHERE deleted_at IS NULL AND content IS NOT NULL),
+  w AS (SELECT DISTINCT path, i, unnest(regexp_extract_all(t, '\\b[A-Za-z_$][\\w$]*\\b')) AS bare FROM l)
+  SELECT CASE WHEN path LIKE '%.md' THEN NULL ELSE split_part(path, '/', 1) END AS project, count(*) AS n_candidates FROM w JOIN sy ON bare = split_part(sy.name, '.', -1) AND kind = 'function' GROUP BY 1""",
     "project_skeleton": _W
     + """ SELECT file_path, string_agg(name, ',' ORDER BY line, ordinal, name) AS exports, count(*) AS n_exports FROM sy WHERE is_exported AND kind <> 'method' AND starts_with(file_path, 'harborline/packages')
   AND length(ltrim(substr(file_path, 20), '/')) - length(replace(ltrim(substr(file_path, 20), '/'), '/', '')) < 4 GROUP BY file_path""",

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fernglass.functions.paths import glob_match, glob_to_regex
-from fernglass.functions.text import clip, contains_phrase, first_doc_comment, identifier_words, phrase_tokens, trigram_similarity
+from fernglass.functions.text import clip, contains_phrase, first_doc_comment, identifier_words, identifiers, phrase_tokens, trigram_similarity
 from fernglass.operators import search as S
 from fernglass.operators.chunks import latest
 from fernglass.session import table
@@ -113,6 +113,20 @@ def prefix_range_scan(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "files").filter(F.col("path").startswith("harborline/packages/b")).select("file_id", "path")
 
 
+def identifier_bm25_topk(spark: SparkSession, sf: str) -> DataFrame:
+    """BM25 over the identifier bags instead of the text."""
+    bags = chunks(spark, sf).select("chunk_id", F.array_join(identifiers(F.col("content")), " ").alias("content"))
+    got = S.top(S.bm25(bags, ASKED), LIMIT, F.asc("score"), F.asc("chunk_id"))
+    return got.select("query_id", "rank", "chunk_id", F.round("score", 6).alias("score"))
+
+
+def word_bag_match(spark: SparkSession, sf: str) -> DataFrame:
+    """Chunks by how many words of a camel-case name their identifiers' parts hold."""
+    wanted = F.array(*[F.lit(w) for w in ("flush", "remote", "schema", "budget")])
+    bags = chunks(spark, sf).select("chunk_id", identifier_words(F.array_join(identifiers(F.col("content")), " ")).alias("words"))
+    return bags.select("chunk_id", F.size(F.array_intersect("words", wanted)).alias("n_words")).filter("n_words >= 3")
+
+
 _SQ = "'"
 _CHUNKS = "c AS (SELECT chunk_id, arg_max(struct_pack(file_path, start_line, content, chunk_type, symbol_name, parent_symbol, is_exported), file_mtime) AS s FROM chunks GROUP BY chunk_id), k AS (SELECT chunk_id, s.* FROM c)".replace(
     "struct_pack(file_path, start_line, content, chunk_type, symbol_name, parent_symbol, is_exported)",
@@ -166,7 +180,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         search_bm25_topk, search_bm25_scoped, identifier_phrase_count, identifier_near_miss, split_identifier_terms, trigram_similarity_topk, declex_rank, rrf_fusion, fused_search,
-        fused_search_exported, fusion_window_effects, shell_method_dedup, zero_result_assist, doc_excerpt_extract, scope_glob_filter, prefix_range_scan,
+        fused_search_exported, fusion_window_effects, identifier_bm25_topk, word_bag_match, shell_method_dedup, zero_result_assist, doc_excerpt_extract, scope_glob_filter, prefix_range_scan,
     )
 }
 ORACLE = {

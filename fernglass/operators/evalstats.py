@@ -136,3 +136,88 @@ def per_group(rows: DataFrame, by: str, value: str) -> DataFrame:
 def seeded_sample(rows: DataFrame, key: str, n: int, seed: int = 7) -> DataFrame:
     """``n`` rows by a seeded hash of their key: the same at any partitioning."""
     return rows.orderBy(F.xxhash64(F.lit(seed), key), key).limit(n)
+
+
+def beta_cdf(x: float, a: float, b: float) -> float:
+    """Regularised incomplete beta function, by its continued fraction (modified Lentz)."""
+    if x <= 0 or x >= 1:
+        return 0.0 if x <= 0 else 1.0
+    if x > (a + 1) / (a + b + 2):
+        return 1 - beta_cdf(1 - x, b, a)
+    front = math.exp(a * math.log(x) + b * math.log1p(-x) + math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b)) / a
+    tiny, c, d = 1e-300, 1.0, 1 - (a + b) * x / (a + 1)
+    d = 1 / (d if abs(d) > tiny else tiny)
+    out = d
+    for m in range(1, 500):
+        for num in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+            d, c = 1 + num * d, 1 + num / c
+            d, c = 1 / (d if abs(d) > tiny else tiny), c if abs(c) > tiny else tiny
+            step = c * d
+            out *= step
+        if abs(step - 1) < 1e-14:
+            break
+    return front * out
+
+
+def t_two_sided(t: float, df: float) -> float:
+    return beta_cdf(df / (df + t * t), df / 2, 0.5)
+
+
+def f_upper(f: float, df1: float, df2: float) -> float:
+    return beta_cdf(df2 / (df2 + df1 * f), df2 / 2, df1 / 2) if f > 0 else 1.0
+
+
+def lack_of_fit(rows: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
+    """F test of a straight line against free means at each distinct x, from group sums; p is computed on the few result rows."""
+    r = rows.select(*by, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).dropna()
+    level = r.groupBy(*by, "x").agg(F.count("*").alias("n"), F.avg("y").alias("m"), (F.var_pop("y") * F.count("*")).alias("pure"))
+    line = r.groupBy(*by).agg(F.regr_slope("y", "x").alias("b"), F.regr_intercept("y", "x").alias("a"))
+    both = level.join(line, by).groupBy(*by).agg(F.sum("n").alias("n"), F.count("*").alias("k"), F.sum("pure").alias("pure"), F.sum(F.col("n") * (F.col("m") - F.col("a") - F.col("b") * F.col("x")) ** 2).alias("lack"))
+    both = both.filter("k > 2 and n > k and pure > 0").withColumn("f", (F.col("lack") / (F.col("k") - 2)) / (F.col("pure") / (F.col("n") - F.col("k"))))
+
+    @F.pandas_udf("double")
+    def p(f: pd.Series, k: pd.Series, n: pd.Series) -> pd.Series:
+        return pd.Series([f_upper(a, b - 2, c - b) for a, b, c in zip(f, k, n, strict=True)])
+
+    return both.select(*by, "n", "k", "f", p("f", "k", "n").alias("p"))
+
+
+#: Webb's six-point weights: fixed values.
+WEBB = [-math.sqrt(1.5), -1.0, -math.sqrt(0.5), math.sqrt(0.5), 1.0, math.sqrt(1.5)]
+
+
+def wild_cluster_p(x: np.ndarray, y: np.ndarray, cluster: np.ndarray, *, slope0: float = 0.0, draws: int = 10_000, seed: int = 811) -> float:
+    """Two-sided wild cluster bootstrap p of slope = slope0, residuals of the restricted fit, one Webb weight per cluster."""
+    names, at = np.unique(cluster, return_inverse=True)
+    dx = x - x.mean()
+    sxx = float((dx**2).sum())
+    if sxx == 0 or len(names) < 2:
+        return 1.0
+
+    def t_of(values: np.ndarray) -> np.ndarray:
+        centred = values - values.mean(axis=-1, keepdims=True)
+        b = centred @ dx / sxx
+        e = centred - b[..., None] * dx
+        score = np.stack([(e[..., at == g] * dx[at == g]).sum(axis=-1) for g in range(len(names))], axis=-1)
+        se = np.sqrt((score**2).sum(axis=-1)) / sxx
+        return (b - slope0) / np.where(se > 0, se, np.inf)
+
+    fitted = slope0 * x + (y - slope0 * x).mean()
+    residual, rng = y - fitted, np.random.default_rng(seed)
+    weights = np.array(WEBB)[rng.integers(0, 6, size=(draws, len(names)))]
+    stat = np.concatenate([t_of(fitted + residual * w[:, at]) for w in np.array_split(weights, max(1, draws // 500))])
+    return float((np.abs(stat) >= abs(float(t_of(y[None, :])[0])) - 1e-12).mean())
+
+
+def self_referential(queries: DataFrame, query: str, own_paths: list[str]) -> DataFrame:
+    """Queries without those that only name the project's own files."""
+    words = F.filter(F.split(F.col(query), r"\s+"), lambda w: w != "")
+    own = F.forall(words, lambda w: F.lit(False) if not own_paths else _any_prefix(w, own_paths))
+    return queries.filter(~((F.size(words) > 0) & own))
+
+
+def _any_prefix(word, paths: list[str]):
+    out = F.lit(False)
+    for p in paths:
+        out = out | word.startswith(p)
+    return out

@@ -44,24 +44,30 @@ def direct_callers(edges: DataFrame, symbols: DataFrame) -> DataFrame:
     )
 
 
-def closure(links: DataFrame, start: DataFrame, max_depth: int | None = None) -> DataFrame:
+def closure(links: DataFrame, start: DataFrame, max_depth: int | None = None, hops: int = 4) -> DataFrame:
     """(node, depth): everything that reaches ``start`` (node) against the direction of ``links`` (src, dst), start excluded unless on a cycle.
 
-    A breadth-first frontier over written tables: each level joins the frontier
-    to the links and drops what was seen, so cycles end it.
+    Breadth first over written tables. A round expands ``hops`` levels in one
+    plan, drops what earlier rounds found and keeps the least depth, so cycles
+    end it and deep chains cost few jobs.
     """
-    links = links.select("src", "dst").distinct()
-    frontier = start.select("node").distinct()
+    # read in every round, so worth writing once
+    links = materialize(links.select("src", "dst").distinct())
+    frontier = materialize(start.select("node").distinct())
     seen, depth = None, 0
     while max_depth is None or depth < max_depth:
-        depth += 1
-        step = links.join(frontier, links.dst == frontier.node).select(F.col("src").alias("node")).distinct()
-        step = step if seen is None else step.join(seen, "node", "left_anti")
-        frontier = materialize(step.withColumn("depth", F.lit(depth)))
+        steps, at = None, frontier
+        for _ in range(hops if max_depth is None else min(hops, max_depth - depth)):
+            depth += 1
+            at = links.join(at, links.dst == at.node).select(F.col("src").alias("node")).distinct()
+            at = at if seen is None else at.join(seen.select("node"), "node", "left_anti")
+            level = at.withColumn("depth", F.lit(depth))
+            steps = level if steps is None else steps.unionByName(level)
+        found = steps.groupBy("node").agg(F.min("depth").alias("depth"))
+        seen = materialize(found if seen is None else seen.unionByName(found))
+        frontier = seen.filter(F.col("depth") == depth).select("node")
         if frontier.isEmpty():
             break
-        seen = frontier if seen is None else seen.unionByName(frontier)
-        frontier = frontier.select("node")
     return seen if seen is not None else start.select("node", F.lit(0).alias("depth")).limit(0)
 
 

@@ -80,8 +80,14 @@ def index_invariant(spark: SparkSession, sf: str) -> DataFrame:
     return c.agg(F.count("*").alias("n_chunks")).crossJoin(bags.agg(F.count("*").alias("n_indexed")))  # one row each
 
 
+def lack_of_fit(spark: SparkSession, sf: str) -> DataFrame:
+    """Whether call durations depend on the hour of day by more than a line."""
+    rows = calls(spark, sf).filter("duration_ms > 0").select("tool_name", F.hour(F.timestamp_seconds("call_timestamp")).alias("x"), F.log("duration_ms").alias("y"))
+    return E.lack_of_fit(rows, ["tool_name"], "x", "y").select("tool_name", "n", "k", F.round("f", 6).alias("f"), F.round("p", 6).alias("p"))
+
+
 _DM = f"WITH {_M}, dm AS (SELECT tool_name, {_DAY} AS day, quantile_disc(duration_ms, 0.5) AS v FROM m WHERE duration_ms >= 0 GROUP BY 1, 2)"
-QUERIES = {f.__name__: f for f in (ndcg_at_10, rrf_k_sweep, ols_slope, paired_stats, walsh_median, sign_test, fire_rate, signed_rank_and_bootstrap, seeded_sample, index_invariant)}
+QUERIES = {f.__name__: f for f in (ndcg_at_10, rrf_k_sweep, ols_slope, paired_stats, walsh_median, sign_test, fire_rate, lack_of_fit, signed_rank_and_bootstrap, seeded_sample, index_invariant)}
 ORACLE = {
     "ndcg_at_10": """WITH k AS (SELECT chunk_id, arg_max(struct_pack(p := file_path, l := start_line, n := symbol_name, t := chunk_type, c := length(content)), file_mtime) AS s FROM chunks GROUP BY 1),
   r AS (SELECT s.p AS q, s.n AS symbol, s.l AS l, row_number() OVER (PARTITION BY s.p ORDER BY s.c DESC, chunk_id) AS rank FROM k WHERE s.t IN ('function', 'method')),

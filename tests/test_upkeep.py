@@ -85,3 +85,19 @@ def test_ranking_quality(spark):
     want = (1 / math.log2(3) + 1 / math.log2(4)) / (1 + 1 / math.log2(3))
     assert abs(got[1].ndcg - want) < 1e-12 and got[1].rr == 0.5 and got[1].recall == 1 and got[2].ndcg == 0
     assert F is not None
+
+
+def test_distributions_and_fits(spark):
+    import numpy as np
+
+    assert abs(E.t_two_sided(2.228, 10) - 0.05) < 1e-4 and abs(E.f_upper(4.96, 1, 10) - 0.05) < 2e-4 and abs(E.beta_cdf(0.5, 2, 3) - 0.6875) < 1e-12
+    x = np.repeat(np.arange(10.0), 4)
+    rng = np.random.default_rng(1)
+    noise = rng.normal(size=40) * 0.1
+    assert E.wild_cluster_p(x, 2 * x + noise, np.repeat(np.arange(10), 4), draws=500) < 0.05
+    assert E.wild_cluster_p(x, noise, np.repeat(np.arange(10), 4), draws=500) > 0.05
+    rows = [("line", float(a), float(2 * a + n)) for a, n in zip(x, noise, strict=True)] + [("curve", float(a), float(a * a + n)) for a, n in zip(x, noise, strict=True)]
+    got = {r.g: r.p for r in E.lack_of_fit(spark.createDataFrame(rows, "g string, x double, y double"), ["g"], "x", "y").collect()}
+    assert got["line"] > 0.01 and got["curve"] < 1e-6
+    q = spark.createDataFrame([("src/a.ts src/b.ts",), ("src/a.ts reads",), ("",)], "q string")
+    assert sorted(r.q for r in E.self_referential(q, "q", ["src/"]).collect()) == ["", "src/a.ts reads"]

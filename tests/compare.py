@@ -30,9 +30,8 @@ def differences(spark, modules):
         for name, sql in m.ORACLE.items():
             df = m.QUERIES[name](spark, DATA)
             got = _rows(df.columns, [tuple(r) for r in df.collect()])
-            table = con.execute(sql).fetch_arrow_table() if hasattr(con, "fetch_arrow_table") else con.execute(sql).arrow()
-            table = table.read_all() if hasattr(table, "read_all") else table
-            want = _rows(table.column_names, list(zip(*[c.to_pylist() for c in table.columns], strict=True)))
+            cursor = con.execute(sql)
+            want = _rows([d[0] for d in cursor.description], cursor.fetchall())
             if got != want:
                 out.append(name)
     return out

@@ -6,7 +6,9 @@ shares taken relative to those sources. Each source's tokens are laid end to
 end in hash order, pass after pass, and cut into blocks. Block j of a source of
 weight w may start at slot ``floor(j / w)`` and must be done by ``ceil((j + 1) / w)``;
 earliest deadline first over these windows interleaves the sources so that
-every prefix of the mix deviates from the targets by less than one block.
+they are never a block ahead or behind. A document may span many blocks: it is
+used whole, in the slot of the block that holds its middle, so after any slot a
+source deviates from its target by less than one block and half its longest document.
 
 Defined results: sources without documents, and sources without a positive
 target, are left out and reported with share 0; documents of unknown sources
@@ -104,23 +106,26 @@ def draw(documents: DataFrame, plans: list[Plan], seed: int = 0, rows: int | Non
 
 
 def interleave(drawn: DataFrame, plans: list[Plan], slots: int = BLOCKS) -> DataFrame:
-    """One row per use of a document, with the slot of the mix it falls in.
+    """One row per use of a document, with the slot of the mix it falls in; the mix is in order of slot, at, doc_id.
 
-    The schedule has ``slots`` rows at any corpus size, so it is broadcast.
+    The schedule has ``slots`` rows at any corpus size, so it is broadcast. One
+    more slot per source at its end takes what rounding leaves over.
     """
     spark = drawn.sparkSession
     total = sum(p.need for p in plans)
     block = max(1.0, total / slots)
-    order = schedule({p.source: p.weight for p in plans}, slots) if plans else []
-    table = spark.createDataFrame([(s, j, t) for t, (s, j) in enumerate(order)], "source string, block bigint, slot bigint")
-    last = {}
+    order = schedule({p.source: p.weight for p in plans}, math.ceil(total / block)) if plans else []
+    end = {p.source: 0 for p in plans}
     for s, j in order:
-        last[s] = max(j, last.get(s, 0))
-    sizes = spark.createDataFrame([(p.source, p.available, last.get(p.source, 0)) for p in plans], "source string, available bigint, last bigint")
+        end[s] = j + 1
+    order += sorted(end.items())
+    table = spark.createDataFrame([(s, j, t) for t, (s, j) in enumerate(order)], "source string, block bigint, slot bigint")
+    sizes = spark.createDataFrame([(p.source, p.available, end[p.source]) for p in plans], "source string, available bigint, end bigint")
     uses = drawn.join(F.broadcast(sizes), "source").select("*", F.explode(F.sequence(F.lit(0), (F.col("repeats") - 1).cast("int"))).alias("pass"))
     at = F.col("pass") * F.col("available") + F.col("position")
-    uses = uses.select("doc_id", "source", "n_tokens", "pass", at.alias("at"), F.least(F.floor(at / F.lit(block)).cast("bigint"), F.col("last")).alias("block"))
-    return uses.join(F.broadcast(table), ["source", "block"]).select("slot", "at", "source", "doc_id", "pass", "n_tokens")
+    middle = F.floor((at + F.col("n_tokens") / 2) / F.lit(block)).cast("bigint")
+    uses = uses.select("doc_id", "source", "n_tokens", "repeats", "pass", at.alias("at"), F.least(middle, F.col("end")).alias("block"))
+    return uses.join(F.broadcast(table), ["source", "block"]).select("slot", "at", "source", "doc_id", "pass", "n_tokens", "repeats")
 
 
 def shares(drawn: DataFrame, targets: DataFrame, available: DataFrame) -> DataFrame:

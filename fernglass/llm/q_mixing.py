@@ -21,8 +21,9 @@ def _mix(spark: SparkSession, sf: str):
 
 
 def p8_drawn(spark: SparkSession, sf: str) -> DataFrame:
+    """Every use of a drawn document, in the order of the mix; ``repeats`` counts the document's uses."""
     tokens, _, _, plans = _mix(spark, sf)
-    return draw(tokens, plans)
+    return interleave(draw(tokens, plans), plans).orderBy("slot", "at", "doc_id")
 
 
 def p8_schedule(spark: SparkSession, sf: str) -> DataFrame:

@@ -1,8 +1,14 @@
+import os
+from collections import Counter
+
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from fernglass.llm.mixing import draw, interleave, plan_mix, schedule, shares
+from fernglass.llm.mixing import BLOCKS, draw, interleave, plan_mix, schedule, shares
+from fernglass.llm.q_mixing import _mix, p8_drawn
+from tests.compare import DATA
 
 
 @settings(max_examples=60, deadline=None)
@@ -47,6 +53,44 @@ def test_draw_reaches_the_shares_and_the_caps(spark):
     assert out["gone"].actual_share == 0 and abs(sum(r.actual_share for r in out.values()) - 1) < 1e-9
 
 
+def _furthest(uses, plans, slots, docs):
+    """Most that a source is off its target after any slot, over one block and half its longest document."""
+    total = sum(p.need for p in plans)
+    block = max(1.0, total / slots)
+    longest = {r.source: r.n for r in docs.groupBy("source").agg(F.max("n_tokens").alias("n")).collect()}
+    done = dict.fromkeys((p.source for p in plans), 0)
+    worst = 0.0
+    for i, u in enumerate(uses):
+        done[u.source] += u.n_tokens
+        if i + 1 == len(uses) or uses[i + 1].slot != u.slot:
+            now = min(total, (u.slot + 1) * block)
+            worst = max([worst, *(abs(done[p.source] - p.weight * now) / (block + longest[p.source] / 2 + 1) for p in plans)])
+    return worst
+
+
+def test_prefixes_of_drawn_documents_keep_the_shares(spark):
+    rows = [(i, f"s{i % 3}", 4000 if i % 50 < 3 else 10 + i % 40) for i in range(1500)] + [(9000, "rare", 3), (9001, "rare", 2)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, source string, n_tokens bigint")
+    have = {}
+    for _, s, n in rows:
+        have[s] = have.get(s, 0) + n
+    plans = plan_mix(have, {"s0": (0.5, 2), "s1": (0.3, 3), "s2": (0.19998, 2), "rare": (0.00002, 2)})
+    drawn = draw(docs, plans).cache()
+    for slots in (1 << 14, 900):
+        uses = interleave(drawn, plans, slots).orderBy("slot", "at", "doc_id").collect()
+        assert len(uses) == drawn.agg(F.sum("repeats")).first()[0] and {u.source for u in uses} == {"s0", "s1", "s2", "rare"}
+        assert _furthest(uses, plans, slots, docs) <= 1
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the test tables")
+def test_p8_drawn_is_in_the_order_of_the_schedule(spark):
+    uses = p8_drawn(spark, DATA).collect()
+    tokens, _, _, plans = _mix(spark, DATA)
+    assert [(u.slot, u.at) for u in uses] == sorted((u.slot, u.at) for u in uses)
+    assert Counter(u.doc_id for u in uses) == {u.doc_id: u.repeats for u in uses}
+    assert _furthest(uses, plans, BLOCKS, tokens) <= 1
+
+
 def test_nothing_to_draw(spark):
     docs = spark.createDataFrame([], "doc_id bigint, source string, n_tokens bigint")
     plans = plan_mix({}, {"a": (1.0, 2)})

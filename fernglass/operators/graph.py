@@ -84,29 +84,29 @@ def in_degree(edges: DataFrame, types: tuple[str, ...] = ("POTENTIAL_CALL", "IMP
     return edges.filter(F.col("edge_type").isin(*types)).groupBy("to_id").agg(F.count("*").alias("in_degree"))
 
 
-def pagerank(edges: DataFrame, nodes: DataFrame, *, rounds: int = 10, damping: float = 0.85, tolerance: float = 1e-8) -> DataFrame:
-    """(id, rank): damped random walk with the mass of dangling nodes spread evenly.
+def pagerank(edges: DataFrame, nodes: DataFrame, *, rounds: int = 100, damping: float = 0.85, tolerance: float = 1e-8) -> DataFrame:
+    """(id, rank): damped random walk with the mass of dangling nodes spread evenly, until no more than ``tolerance`` moves in a round.
 
-    ``edges`` (src, dst) and ``nodes`` (id) are written once; lineage is cut every round.
+    ``edges`` (src, dst; each row counts) and ``nodes`` (id) are written once; lineage is cut every round.
     """
     nodes = materialize(nodes.select("id").distinct())
     n = nodes.count()
     if n == 0:
         return nodes.withColumn("rank", F.lit(0.0))
-    links = edges.select("src", "dst").distinct().join(nodes.withColumnRenamed("id", "src"), "src").join(nodes.withColumnRenamed("id", "dst"), "dst")
+    links = edges.select("src", "dst").join(nodes.withColumnRenamed("id", "src"), "src").join(nodes.withColumnRenamed("id", "dst"), "dst")
     out = links.groupBy("src").agg(F.count("*").alias("out"))
     links = materialize(links.join(out, "src"))
-    ranks = materialize(nodes.withColumn("rank", F.lit(1.0 / n)))
+    ranks = materialize(nodes.join(out.withColumnRenamed("src", "id"), "id", "left").select("id", F.col("out").isNull().alias("dangling"), F.lit(1.0 / n).alias("rank")))
+    loose = ranks.agg(F.coalesce(F.sum(F.when(F.col("dangling"), F.col("rank"))), F.lit(0.0))).first()[0]
     for _ in range(rounds):
-        given = links.join(ranks.withColumnRenamed("id", "src"), "src").groupBy("dst").agg(F.sum(F.col("rank") / F.col("out")).alias("got"))
-        dangling = ranks.join(out.withColumnRenamed("src", "id"), "id", "left_anti").agg(F.coalesce(F.sum("rank"), F.lit(0.0))).first()[0]
-        base = (1 - damping) / n + damping * dangling / n
-        new = materialize(ranks.join(given.withColumnRenamed("dst", "id"), "id", "left").select("id", F.col("rank").alias("old"), (F.lit(base) + damping * F.coalesce("got", F.lit(0.0))).alias("rank")))
-        moved = new.agg(F.sum(F.abs(F.col("rank") - F.col("old")))).first()[0]
-        ranks = new.select("id", "rank")
+        given = links.join(ranks.select(F.col("id").alias("src"), "rank"), "src").groupBy("dst").agg(F.sum(F.col("rank") / F.col("out")).alias("got"))
+        base = (1 - damping) / n + damping * loose / n
+        new = (F.lit(base) + damping * F.coalesce("got", F.lit(0.0))).alias("rank")
+        ranks = materialize(ranks.join(given.withColumnRenamed("dst", "id"), "id", "left").select("id", "dangling", F.col("rank").alias("old"), new))
+        moved, loose = ranks.agg(F.sum(F.abs(F.col("rank") - F.col("old"))), F.coalesce(F.sum(F.when(F.col("dangling"), F.col("rank"))), F.lit(0.0))).first()
         if moved < tolerance:
             break
-    return ranks
+    return ranks.select("id", "rank")
 
 
 def lookup_names(symbols: DataFrame) -> DataFrame:

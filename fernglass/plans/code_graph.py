@@ -66,7 +66,8 @@ def graph_in_degree(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def graph_pagerank(spark: SparkSession, sf: str) -> DataFrame:
-    return G.pagerank(_calls(spark, sf), symbols(spark, sf).select(F.col("symbol_id").alias("id")))
+    links = edges(spark, sf).filter(F.col("edge_type").isin("POTENTIAL_CALL", "IMPLEMENTS")).select(F.col("from_id").alias("src"), F.col("to_id").alias("dst"))
+    return G.pagerank(links, symbols(spark, sf).select(F.col("symbol_id").alias("id")))
 
 
 def symbol_lookup_exported_first(spark: SparkSession, sf: str) -> DataFrame:

@@ -1,8 +1,14 @@
+import os
 import random
+from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
 from fernglass.operators import graph as G
+from fernglass.plans import code_graph as P
+
+from .compare import DATA
 
 
 def test_closure_matches_breadth_first_search(spark):
@@ -24,6 +30,22 @@ def test_pagerank_sums_to_one_and_favours_the_called(spark):
     assert abs(sum(got.values()) - 1) < 1e-6 and max(got, key=got.get) == 0 and got[2] > got[3]
 
 
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the test tables")
+def test_registered_pagerank_converges_over_calls_and_implementors(spark):
+    links = [(r.from_id, r.to_id) for r in P.edges(spark, DATA).filter("edge_type in ('POTENTIAL_CALL', 'IMPLEMENTS')").collect()]
+    ids = {r.symbol_id for r in P.symbols(spark, DATA).collect()}
+    links = [(a, b) for a, b in links if a in ids and b in ids]
+    out, rank = Counter(a for a, _ in links), dict.fromkeys(ids, 1 / len(ids))
+    for _ in range(300):
+        base = (0.15 + 0.85 * sum(v for k, v in rank.items() if k not in out)) / len(ids)
+        new = dict.fromkeys(ids, base)
+        for a, b in links:
+            new[b] += 0.85 * rank[a] / out[a]
+        rank = new
+    got = {r.id: r["rank"] for r in P.graph_pagerank(spark, DATA).collect()}
+    assert got.keys() == ids and sum(abs(got[k] - rank[k]) for k in ids) < 1e-7
+
+
 SYMBOLS = "symbol_id string, name string, kind string, file_path string, line int, ordinal int, is_exported boolean"
 
 

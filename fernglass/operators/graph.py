@@ -44,31 +44,31 @@ def direct_callers(edges: DataFrame, symbols: DataFrame) -> DataFrame:
     )
 
 
-def closure(links: DataFrame, start: DataFrame, max_depth: int | None = None, hops: int = 4) -> DataFrame:
-    """(node, depth): everything that reaches ``start`` (node) against the direction of ``links`` (src, dst), start excluded unless on a cycle.
+def closure(links: DataFrame, start: DataFrame, max_depth: int | None = None, hops: int = 4, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, node, depth): everything that reaches ``start`` (by, node) against the direction of ``links`` (src, dst), start excluded unless on a cycle.
 
-    Breadth first over written tables. A round expands ``hops`` levels in one
-    plan, drops what earlier rounds found and keeps the least depth, so cycles
-    end it and deep chains cost few jobs.
+    Breadth first over written tables, apart for each value of ``by``. A round
+    expands ``hops`` levels in one plan, drops what earlier rounds found and
+    keeps the least depth, so cycles end it and deep chains cost few jobs.
     """
     # read in every round, so worth writing once
     links = materialize(links.select("src", "dst").distinct())
-    frontier = materialize(start.select("node").distinct())
+    frontier = materialize(start.select(*by, "node").distinct())
     seen, depth = None, 0
     while max_depth is None or depth < max_depth:
         steps, at = None, frontier
         for _ in range(hops if max_depth is None else min(hops, max_depth - depth)):
             depth += 1
-            at = links.join(at, links.dst == at.node).select(F.col("src").alias("node")).distinct()
-            at = at if seen is None else at.join(seen.select("node"), "node", "left_anti")
+            at = links.join(at, links.dst == at.node).select(*by, F.col("src").alias("node")).distinct()
+            at = at if seen is None else at.join(seen.select(*by, "node"), [*by, "node"], "left_anti")
             level = at.withColumn("depth", F.lit(depth))
             steps = level if steps is None else steps.unionByName(level)
-        found = steps.groupBy("node").agg(F.min("depth").alias("depth"))
+        found = steps.groupBy(*by, "node").agg(F.min("depth").alias("depth"))
         seen = materialize(found if seen is None else seen.unionByName(found))
-        frontier = seen.filter(F.col("depth") == depth).select("node")
+        frontier = seen.filter(F.col("depth") == depth).select(*by, "node")
         if frontier.isEmpty():
             break
-    return seen if seen is not None else start.select("node", F.lit(0).alias("depth")).limit(0)
+    return seen if seen is not None else start.select(*by, "node", F.lit(0).alias("depth")).limit(0)
 
 
 def chain(links: DataFrame, hops: int = 5) -> DataFrame:

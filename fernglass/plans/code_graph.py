@@ -43,6 +43,12 @@ def graph_transitive_callers(spark: SparkSession, sf: str) -> DataFrame:
     return G.closure(_calls(spark, sf), _most_called(spark, sf))
 
 
+def graph_transitive_callers_all(spark: SparkSession, sf: str) -> DataFrame:
+    """(target, node, depth): the callers of every called symbol."""
+    calls = _calls(spark, sf)
+    return G.closure(calls, calls.select(F.col("dst").alias("target"), F.col("dst").alias("node")), by=("target",))
+
+
 def graph_bounded_chain(spark: SparkSession, sf: str) -> DataFrame:
     calls = _calls(spark, sf).groupBy("src").agg(F.min("dst").alias("dst"))
     return G.chain(calls)
@@ -56,9 +62,19 @@ def graph_star_closure_named_wins(spark: SparkSession, sf: str) -> DataFrame:
     """Files that re-export a file of the first repository by star, without those that name a symbol of theirs in an edge."""
     homes = table(spark, sf, "files").filter(F.col("path").startswith("harborline/") | F.col("path").startswith("mosswick/")).select(F.col("file_id").alias("node"))
     found = G.closure(_stars(spark, sf), homes)
+    return found.join(_named(spark, sf), "node", "left_anti").withColumnRenamed("node", "file_id")
+
+
+def _named(spark: SparkSession, sf: str) -> DataFrame:
     named = edges(spark, sf).filter("edge_type = 'RE_EXPORTS'").select(F.col("from_id").alias("symbol_id")).join(symbols(spark, sf), "symbol_id").select(F.col("file_path").alias("path"))
-    named = table(spark, sf, "files").join(named, "path", "left_semi").select(F.col("file_id").alias("node"))
-    return found.join(named, "node", "left_anti").withColumnRenamed("node", "file_id")
+    return table(spark, sf, "files").join(named, "path", "left_semi").select(F.col("file_id").alias("node"))
+
+
+def graph_star_closure_all(spark: SparkSession, sf: str) -> DataFrame:
+    """(target, file_id, depth): as graph_star_closure_named_wins, from every re-exported file of every repository."""
+    stars = _stars(spark, sf)
+    found = G.closure(stars, stars.select(F.col("dst").alias("target"), F.col("dst").alias("node")), by=("target",))
+    return found.join(_named(spark, sf), "node", "left_anti").withColumnRenamed("node", "file_id")
 
 
 def graph_in_degree(spark: SparkSession, sf: str) -> DataFrame:
@@ -165,7 +181,7 @@ _LATEST = "ch AS (SELECT chunk_id, arg_max(struct_pack(file_path := file_path, c
 QUERIES = {
     f.__name__: f
     for f in (
-        graph_direct_callers, graph_transitive_callers, graph_bounded_chain, graph_star_closure_named_wins, graph_in_degree, graph_pagerank, symbol_lookup_exported_first, implementors_with_methods,
+        graph_direct_callers, graph_transitive_callers, graph_transitive_callers_all, graph_bounded_chain, graph_star_closure_named_wins, graph_star_closure_all, graph_in_degree, graph_pagerank, symbol_lookup_exported_first, implementors_with_methods,
         type_context_priority, edge_resolution_rules, edge_insert_ignore, project_skeleton, dependencies_explode, exports_by_file, honest_page_cap, potential_matches_anti, rename_impact, call_site_verdicts, checker_buckets,
     )
 }

@@ -87,10 +87,19 @@ def fusion_window_effects(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def shell_method_dedup(spark: SparkSession, sf: str) -> DataFrame:
-    """De-duplication over all chunks, ranked by file and line within each repository."""
+    """De-duplication over the chunks of each repository, longest first, up to 50 rows kept."""
+    return _dedup(spark, sf, 50)
+
+
+def shell_method_dedup_all(spark: SparkSession, sf: str) -> DataFrame:
+    """De-duplication over all chunks, longest first within each repository."""
+    return _dedup(spark, sf, (1 << 63) - 1)
+
+
+def _dedup(spark: SparkSession, sf: str, limit: int) -> DataFrame:
     rows = chunks(spark, sf).withColumn("query_id", F.substring_index("file_path", "/", 1))
     rows = S.top(rows, 1_000_000_000, F.desc(F.length("content")), F.asc("chunk_id"))
-    return S.drop_collisions(rows, 50).withColumnRenamed("query_id", "repo")
+    return S.drop_collisions(rows, limit).withColumnRenamed("query_id", "repo")
 
 
 def zero_result_assist(spark: SparkSession, sf: str) -> DataFrame:
@@ -180,7 +189,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         search_bm25_topk, search_bm25_scoped, identifier_phrase_count, identifier_near_miss, split_identifier_terms, trigram_similarity_topk, declex_rank, rrf_fusion, fused_search,
-        fused_search_exported, fusion_window_effects, identifier_bm25_topk, word_bag_match, shell_method_dedup, zero_result_assist, doc_excerpt_extract, scope_glob_filter, prefix_range_scan,
+        fused_search_exported, fusion_window_effects, identifier_bm25_topk, word_bag_match, shell_method_dedup, shell_method_dedup_all, zero_result_assist, doc_excerpt_extract, scope_glob_filter, prefix_range_scan,
     )
 }
 ORACLE = {

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from fernglass.operators import graph as G
 from fernglass.plans import code_graph as P
+from fernglass.plans import code_search
 
 from .compare import DATA
 
@@ -23,6 +24,40 @@ def test_closure_matches_breadth_first_search(spark):
     assert got == depth
 
 
+def _reached(links):
+    """{(target, node): depth} by breadth-first search from every dst."""
+    back, out = {}, {}
+    for a, b in links:
+        back.setdefault(b, set()).add(a)
+    for target in back:
+        frontier, d = {target}, 0
+        while frontier:
+            d += 1
+            frontier = {x for n in frontier for x in back.get(n, ()) if (target, x) not in out}
+            out |= {(target, x): d for x in frontier}
+    return out
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the test tables")
+def test_closures_start_from_everything(spark):
+    calls = [(r.src, r.dst) for r in P._calls(spark, DATA).collect()]
+    assert {(r.target, r.node): r.depth for r in P.graph_transitive_callers_all(spark, DATA).collect()} == _reached(calls)
+    stars = [(r.src, r.dst) for r in P._stars(spark, DATA).collect()]
+    named = {r.node for r in P._named(spark, DATA).collect()}
+    assert {(r.target, r.file_id): r.depth for r in P.graph_star_closure_all(spark, DATA).collect()} == {k: d for k, d in _reached(stars).items() if k[1] not in named}
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the test tables")
+def test_dedup_takes_every_chunk(spark):
+    first, rows = {}, code_search.chunks(spark, DATA).collect()
+    key = lambda c: (c.file_path, c.symbol_name if c.chunk_type == "class_shell" else c.parent_symbol if c.chunk_type == "method" else None)
+    for c in sorted(rows, key=lambda c: (-len(c.content), c.chunk_id)):
+        first.setdefault(key(c), c.chunk_type)
+    want = {c.chunk_id for c in rows if key(c)[1] is None or c.chunk_type == first[key(c)]}
+    got = [r.chunk_id for r in code_search.shell_method_dedup_all(spark, DATA).collect()]
+    assert len(got) == len(want) and set(got) == want
+
+
 def test_pagerank_sums_to_one_and_favours_the_called(spark):
     nodes = spark.createDataFrame([(i,) for i in range(6)], "id int")
     edges = spark.createDataFrame([(i, 0) for i in range(1, 5)] + [(1, 2)], "src int, dst int")

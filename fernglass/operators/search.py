@@ -93,9 +93,9 @@ def rank_declared(rows: DataFrame, k: int) -> DataFrame:
     return top(rows, k, F.col("match"), F.col("multiplicity"), F.col("chunk_id"), rank="d_rank")
 
 
-def fuse(lexical: DataFrame, names: DataFrame) -> DataFrame:
+def fuse(lexical: DataFrame, names: DataFrame, k: int = RRF_K) -> DataFrame:
     """Reciprocal rank fusion of (query_id, chunk_id, f_rank) and (query_id, chunk_id, d_rank)."""
-    part = lambda c: F.coalesce(1.0 / (RRF_K + F.col(c)), F.lit(0.0))
+    part = lambda c: F.coalesce(1.0 / (k + F.col(c)), F.lit(0.0))
     both = lexical.select("query_id", "chunk_id", "f_rank").join(names.select("query_id", "chunk_id", "d_rank"), ["query_id", "chunk_id"], "full_outer")
     return both.withColumn("rrf", part("f_rank") + part("d_rank"))
 

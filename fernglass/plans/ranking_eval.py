@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fernglass.operators import evalstats as E
 from fernglass.operators import search as S
-from fernglass.plans.code_search import ASKED, chunks
+from fernglass.plans.code_search import ASKED, _rankers, chunks
 from fernglass.plans.telemetry_reports import _DAY, _M, calls
-from fernglass.session import table
+from fernglass.session import materialize, table
 from fernglass.operators.telemetry import day_of
 
 
@@ -30,11 +32,27 @@ def ndcg_at_10(spark: SparkSession, sf: str) -> DataFrame:
     return q.select("query_id", *[F.round(c, 9).alias(c) for c in ("ndcg", "recall", "rr")])
 
 
+def _asked_targets(spark: SparkSession, sf: str) -> DataFrame:
+    """What the queries ask for: the symbols whose name, or its last segment, they hold."""
+    s = table(spark, sf, "symbols").filter("deleted_at is null").select("symbol_id", "name", "file_path", "line").dropDuplicates(["symbol_id"])
+    words = spark.createDataFrame([(q, w.lower()) for q, text in ASKED for w in S.name_terms(text)], "query_id int, word string").distinct()
+    named = s.withColumn("word", F.explode(F.array_distinct(F.array(F.lower("name"), F.lower(F.substring_index("name", ".", -1))))))
+    # a few words of the fixed queries
+    return named.join(F.broadcast(words), "word").select("query_id", F.col("symbol_id").alias("target_id"), "file_path", F.col("name").alias("symbol"), "line").distinct()
+
+
 def rrf_k_sweep(spark: SparkSession, sf: str) -> DataFrame:
-    """Fused score of the first of both rankings under each constant."""
-    ranks = S.top(S.bm25(chunks(spark, sf), ASKED), 20, F.asc("score"), F.asc("chunk_id"))
+    """Quality at 10 of the fused BM25 and declared-name rankings, with the windows of the fused search, under each constant."""
+    lexical, names = (materialize(r) for r in _rankers(spark, sf))
+    at = chunks(spark, sf).select("chunk_id", "file_path", F.col("symbol_name").alias("symbol"), "start_line", F.col("start_line").alias("end_line"))
+    fused = [S.top(S.fuse(lexical, names, k), 10, *S.fused_order()).select(F.lit(k).alias("k"), "query_id", "rank", "chunk_id") for k in E.RRF_SWEEP]
+    ranked = reduce(lambda a, b: a.unionByName(b), fused).join(at, "chunk_id")
     ks = F.explode(F.array(*[F.lit(k) for k in E.RRF_SWEEP])).alias("k")
-    return ranks.select(ks, "query_id", "rank").groupBy("k", "query_id").agg(F.round(F.sum(1.0 / (F.col("k") + F.col("rank"))), 12).alias("mass"))
+    targets = materialize(_asked_targets(spark, sf)).select("*", ks)
+    # one ranking per query and constant
+    both = F.struct("k", "query_id")
+    q = E.ranking_quality(ranked.withColumn("query_id", both), targets.withColumn("query_id", both))
+    return q.select("query_id.k", "query_id.query_id", *[F.round(c, 9).alias(c) for c in ("ndcg", "recall", "rr")])
 
 
 def ols_slope(spark: SparkSession, sf: str) -> DataFrame:

@@ -1,9 +1,17 @@
 import math
+import os
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from fernglass.operators import search as S
+from fernglass.plans import code_search, ranking_eval
+
+from .compare import DATA
+
+#: The smallest table where the queries' names are declared.
+NAMED = os.path.join(os.path.dirname(DATA), "sf0.01")
 
 COLUMNS = "chunk_id string, chunk_type string, symbol_name string, parent_symbol string, file_path string, start_line int, content string, is_exported boolean"
 
@@ -97,3 +105,24 @@ def test_collisions_match_a_sequential_walk(spark):
         if r.hint is not None:
             got[r.query_id][1][r.chunk_id] = r.hint
     assert got == {q: w for q, w in want.items() if w[0]}
+
+
+@pytest.mark.skipif(not os.path.isdir(NAMED), reason="needs the test tables")
+def test_rrf_sweep_fuses_and_scores(spark):
+    lexical, names = code_search._rankers(spark, NAMED)
+    f = {(r.query_id, r.chunk_id): r.f_rank for r in lexical.collect()}
+    d = {(r.query_id, r.chunk_id): r.d_rank for r in names.collect()}
+    at = {c.chunk_id: c for c in code_search.chunks(spark, NAMED).collect()}
+    targets = {}
+    for t in ranking_eval._asked_targets(spark, NAMED).collect():
+        targets.setdefault(t.query_id, []).append(t)
+    want, far = {}, math.inf
+    for k in ranking_eval.E.RRF_SWEEP:
+        for q, ts in targets.items():
+            score = {c: sum(1 / (k + r[q, c]) for r in (f, d) if (q, c) in r) for c in {c for x, c in f.keys() | d.keys() if x == q}}
+            top = sorted(score, key=lambda c: (-score[c], f.get((q, c), far), d.get((q, c), far), c))[:10]
+            firsts = {next((i for i, c in enumerate(top, 1) if at[c].file_path == t.file_path and (at[c].symbol_name == t.symbol or at[c].start_line == t.line)), None) for t in ts} - {None}
+            ideal = sum(1 / math.log2(i + 1) for i in range(1, min(10, len(ts)) + 1))
+            want[k, q] = sum(1 / math.log2(i + 1) for i in firsts) / ideal
+    got = {(r.k, r.query_id): r.ndcg for r in ranking_eval.rrf_k_sweep(spark, NAMED).collect()}
+    assert d and want.keys() == got.keys() and all(abs(got[x] - want[x]) < 1e-8 for x in want)

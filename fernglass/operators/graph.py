@@ -80,6 +80,41 @@ def chain(links: DataFrame, hops: int = 5) -> DataFrame:
     return rows
 
 
+def named_chain(edges: DataFrame, symbols: DataFrame, hops: int = 5) -> DataFrame:
+    """(marker, symbol_id, hops): named re-exports followed up to ``hops`` edges to the first symbol that is no marker itself.
+
+    A marker's edge of least id counts; a chain that is longer, runs in a circle
+    or ends in a symbol that is gone has no row.
+    """
+    step = edges.filter("edge_type = 'RE_EXPORTS'").groupBy("from_id").agg(F.min_by("to_id", "edge_id").alias("symbol_id"))
+    step = materialize(step.join(symbols.select("symbol_id", (F.col("kind") == "export").alias("again")), "symbol_id"))
+    at = step.select(F.col("from_id").alias("marker"), "symbol_id", "again")
+    found = []
+    for hop in range(1, hops + 1):
+        found.append(at.filter("not again").select("marker", "symbol_id", F.lit(hop).alias("hops")))
+        at = at.filter("again").select("marker", F.col("symbol_id").alias("from_id")).join(step, "from_id").select("marker", "symbol_id", "again")
+    return reduce(lambda a, b: a.unionByName(b), found)
+
+
+def through_barrels(wanted: DataFrame, symbols: DataFrame, edges: DataFrame, files: DataFrame, stars: DataFrame) -> DataFrame:
+    """(path, name, symbol_id) of the ``wanted`` (path, name) that a file only re-exports: by name, else by star from the file of lowest id.
+
+    ``files`` has path and file_id, ``stars`` the re-exporting file as src and the re-exported as dst.
+    """
+    decl = symbols.filter("kind <> 'export'")
+    wanted = materialize(wanted.select("path", "name").dropna().distinct().join(decl.select(F.col("file_path").alias("path"), "name"), ["path", "name"], "left_anti"))
+    markers = symbols.filter("kind = 'export'").select(F.col("file_path").alias("path"), "name", "line", "ordinal", F.col("symbol_id").alias("marker")).join(wanted, ["path", "name"], "left_semi")
+    named = first_by(markers, ["path", "name"], F.col("line"), F.col("ordinal"), F.col("marker")).join(named_chain(edges, symbols), "marker").select("path", "name", F.col("symbol_id").alias("n_id"))
+    homes = files.select("path", "file_id").distinct()
+    start = homes.join(wanted.select("path"), "path", "left_semi").select(F.col("path").alias("target"), F.col("file_id").alias("node"))
+    reached = closure(stars.select(F.col("dst").alias("src"), F.col("src").alias("dst")), start, by=("target",))
+    reached = reached.join(homes.select(F.col("file_id").alias("node"), F.col("path").alias("file_path")), "node")
+    held = decl.select("file_path", "name", "line", "ordinal", "symbol_id").join(wanted.select("name").distinct(), "name", "left_semi")
+    rows = wanted.join(reached.withColumnRenamed("target", "path"), "path").join(held, ["file_path", "name"])
+    by_star = first_by(rows, ["path", "name"], F.col("node"), F.col("line"), F.col("ordinal"), F.col("symbol_id")).select("path", "name", F.col("symbol_id").alias("s_id"))
+    return named.join(by_star, ["path", "name"], "full_outer").select("path", "name", F.coalesce("n_id", "s_id").alias("symbol_id"))
+
+
 def in_degree(edges: DataFrame, types: tuple[str, ...] = ("POTENTIAL_CALL", "IMPLEMENTS")) -> DataFrame:
     return edges.filter(F.col("edge_type").isin(*types)).groupBy("to_id").agg(F.count("*").alias("in_degree"))
 
@@ -137,13 +172,15 @@ def resolve_types(wanted: DataFrame, symbols: DataFrame, imports: DataFrame) ->
     return first_by(rows, ["file_path", "type_name"], F.col("priority"), F.col("home"), F.col("line"), F.col("symbol_id")).select("file_path", "type_name", "priority", "symbol_id", "home")
 
 
-def resolve_calls(calls: DataFrame, symbols: DataFrame, imports: DataFrame) -> DataFrame:
+def resolve_calls(calls: DataFrame, symbols: DataFrame, imports: DataFrame, barrels: tuple[DataFrame, DataFrame, DataFrame] | None = None) -> DataFrame:
     """(file_path, to_name, symbol_id, rule): call targets by the rule of their evidence.
 
     ``calls`` has file_path, ordinal, to_name, resolution. The first call of a
     name in a file decides its rule. Same-file evidence looks in the file,
     imports in the file the name was first imported from, typed receivers in
-    the import of their type, then the file, then anywhere by name.
+    the import of their type, then the file, then anywhere by name. With
+    ``barrels`` (edges, files, stars), what an imported file does not declare
+    is looked for where it re-exports from.
     """
     first = first_by(calls, ["file_path", "to_name"], F.col("ordinal"))
     decl = symbols.filter("kind <> 'export'")
@@ -156,6 +193,9 @@ def resolve_calls(calls: DataFrame, symbols: DataFrame, imports: DataFrame) -> D
     rows = rows.join(names, (rows.file_path == names.i_path) & (rows.i_key == names.i_name), "left")
     via = here.select(F.col("d_name").alias("v_name"), F.col("d_path").alias("v_path"), F.col("d_id").alias("v_id"))
     rows = rows.join(via, (rows.to_name == via.v_name) & (rows.resolved_path == via.v_path), "left").join(here, (rows.to_name == here.d_name) & (rows.file_path == here.d_path), "left")
+    if barrels is not None:
+        beyond = through_barrels(rows.select(F.col("resolved_path").alias("path"), F.col("to_name").alias("name")), symbols, *barrels).select(F.col("path").alias("b_path"), F.col("name").alias("b_name"), F.col("symbol_id").alias("b_id"))
+        rows = rows.join(beyond, (rows.to_name == beyond.b_name) & (rows.resolved_path == beyond.b_path), "left").withColumn("v_id", F.coalesce("v_id", "b_id"))
     rows = rows.join(anywhere, rows.to_name == anywhere.g_name, "left")
     target = (
         F.when(F.col("resolution").isin("same_file", "this_method"), F.col("d_id"))

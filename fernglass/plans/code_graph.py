@@ -54,6 +54,11 @@ def graph_bounded_chain(spark: SparkSession, sf: str) -> DataFrame:
     return G.chain(calls)
 
 
+def graph_named_chain(spark: SparkSession, sf: str) -> DataFrame:
+    """The declaration at the end of every named re-export."""
+    return G.named_chain(edges(spark, sf), symbols(spark, sf))
+
+
 def _stars(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "re_export_files").filter("to_file_id is not null and to_file_id <> from_file_id").select(F.col("from_file_id").alias("src"), F.col("to_file_id").alias("dst")).distinct()
 
@@ -112,6 +117,12 @@ def edge_resolution_rules(spark: SparkSession, sf: str) -> DataFrame:
     return G.resolve_calls(raw_calls(spark, sf), symbols(spark, sf), imports(spark, sf))
 
 
+def edge_resolution_chains(spark: SparkSession, sf: str) -> DataFrame:
+    """As edge_resolution_rules, with imports followed through named and star re-exports."""
+    files = table(spark, sf, "files").filter("deleted_at is null")
+    return G.resolve_calls(raw_calls(spark, sf), symbols(spark, sf), imports(spark, sf), (edges(spark, sf), files, _stars(spark, sf)))
+
+
 def edge_insert_ignore(spark: SparkSession, sf: str) -> DataFrame:
     return edges(spark, sf)
 
@@ -181,8 +192,8 @@ _LATEST = "ch AS (SELECT chunk_id, arg_max(struct_pack(file_path := file_path, c
 QUERIES = {
     f.__name__: f
     for f in (
-        graph_direct_callers, graph_transitive_callers, graph_transitive_callers_all, graph_bounded_chain, graph_star_closure_named_wins, graph_star_closure_all, graph_in_degree, graph_pagerank, symbol_lookup_exported_first, implementors_with_methods,
-        type_context_priority, edge_resolution_rules, edge_insert_ignore, project_skeleton, dependencies_explode, exports_by_file, honest_page_cap, potential_matches_anti, rename_impact, call_site_verdicts, checker_buckets,
+        graph_direct_callers, graph_transitive_callers, graph_transitive_callers_all, graph_bounded_chain, graph_named_chain, graph_star_closure_named_wins, graph_star_closure_all, graph_in_degree, graph_pagerank, symbol_lookup_exported_first, implementors_with_methods,
+        type_context_priority, edge_resolution_rules, edge_resolution_chains, edge_insert_ignore, project_skeleton, dependencies_explode, exports_by_file, honest_page_cap, potential_matches_anti, rename_impact, call_site_verdicts, checker_buckets,
     )
 }
 ORACLE = {

@@ -92,6 +92,23 @@ def test_call_resolution_rules(spark):
     assert got == {("a.ts", "f"): "1", ("a.ts", "C.x"): "5", ("a.ts", "T.m"): "3", ("d.ts", "f"): "2", ("e.ts", "T.m"): "3", ("q.ts", "g"): "4"}
 
 
+def test_calls_resolve_through_barrels(spark):
+    symbols = spark.createDataFrame(
+        [("m1", "f", "export", "bar.ts", 1, 0, True), ("m2", "f", "export", "mid.ts", 1, 0, True), ("f", "f", "function", "deep.ts", 1, 0, True), ("gone", "g", "function", "a_first.ts", 1, 0, True), ("g", "g", "function", "low.ts", 1, 0, True), ("g2", "g", "function", "high.ts", 1, 0, True), ("t0", "T.m", "method", "a_first.ts", 5, 1, True), ("t", "T.m", "method", "low.ts", 5, 1, True)]
+        + [(f"c{i}", "h", "export", f"c{i}.ts", 1, 0, True) for i in range(6)] + [("h", "h", "function", "end.ts", 1, 0, True)], SYMBOLS
+    )
+    links = [("m1", "m2"), ("m2", "f"), *[(f"c{i}", f"c{i + 1}") for i in range(5)], ("c5", "h")]
+    edges = spark.createDataFrame([(i, a, b, "RE_EXPORTS") for i, (a, b) in enumerate(links)], "edge_id int, from_id string, to_id string, edge_type string")
+    files = spark.createDataFrame([("bar.ts", 1), ("star.ts", 2), ("mid.ts", 3), ("low.ts", 4), ("high.ts", 5), ("a_first.ts", 6), ("deep.ts", 7)], "path string, file_id int")
+    stars = spark.createDataFrame([(2, 3), (3, 5), (3, 4), (4, 2)], "src int, dst int")
+    imports = spark.createDataFrame([("x.ts", 0, ["f"], "bar.ts"), ("x.ts", 1, ["g", "T"], "star.ts"), ("x.ts", 2, ["h"], "c0.ts")], "file_path string, ordinal int, symbols array<string>, resolved_path string")
+    calls = spark.createDataFrame([("x.ts", 0, "f", "import"), ("x.ts", 1, "g", "import"), ("x.ts", 2, "T.m", "parameter_type"), ("x.ts", 3, "h", "import")], "file_path string, ordinal int, to_name string, resolution string")
+    got = {r.to_name: r.symbol_id for r in G.resolve_calls(calls, symbols, imports, (edges, files, stars)).collect()}
+    assert got == {"f": "f", "g": "g", "T.m": "t"}
+    chain = {r.marker: (r.symbol_id, r.hops) for r in G.named_chain(edges, symbols).collect()}
+    assert chain["m1"] == ("f", 2) and chain["c1"] == ("h", 5) and "c0" not in chain
+
+
 def test_chain_and_page(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(9)], "src int, dst int")
     got = {r.node: (r.end, r.hops) for r in G.chain(links, 5).collect()}

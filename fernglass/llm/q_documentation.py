@@ -17,7 +17,8 @@ def _functions(spark: SparkSession, sf: str) -> DataFrame:
     h = F.xxhash64("content", "symbol_name", "context_before", "chunk_type")
     now = in_force(chunks, {"at": at, "chunk_type": F.col("chunk_type"), "h": h}, where=F.col("chunk_type").isin("function", "method"))
     rows = chunks.filter(F.col("chunk_type").isin("function", "method")).select(F.col("chunk_id").alias("cid"), at.alias("m"), h.alias("x"), "content", "symbol_name", "context_before")
-    same = (F.col("chunk_id") == F.col("cid")) & (F.col("h").bitwiseXOR(F.col("x")) == 0) & (F.col("at") - F.col("m") == 0)
+    # no equalities, which would partition by more than chunk_id; a difference would not do for two null times
+    same = (F.col("chunk_id") == F.col("cid")) & (F.col("h").bitwiseXOR(F.col("x")) == 0) & (F.col("at") >= F.col("m")) & (F.col("at") <= F.col("m"))
     kept = now.join(rows, same).groupBy("chunk_id").agg(F.first("content").alias("text"), F.first("symbol_name").alias("name"), F.first("context_before").alias("declaration"))
     return kept.withColumnRenamed("chunk_id", "id")
 

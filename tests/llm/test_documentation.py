@@ -1,7 +1,11 @@
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
 from fernglass.llm.documentation import is_telling, pair_functions
+from fernglass.llm.q_documentation import p2_found
+from tests.compare import DATA
 
 TELLING = [
     ("/** Oldest pillar wins. */", "countRows"),
@@ -58,3 +62,12 @@ def test_pairs(spark):
 def test_empty(spark, code):
     df = spark.createDataFrame([], "id string, text string, name string, declaration int")
     assert pair_functions(df, code=code).count() == 0
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the test tables")
+def test_chunks_without_a_time_are_kept(spark, tmp_path):
+    chunks = spark.read.parquet(f"{DATA}/chunks.parquet").dropDuplicates(["chunk_id"])
+    chunks.write.parquet(f"{tmp_path}/timed/chunks.parquet")
+    spark.read.parquet(f"{tmp_path}/timed/chunks.parquet").withColumn("file_mtime", F.lit(None).cast("double")).write.parquet(f"{tmp_path}/null/chunks.parquet")
+    want = {r.chunk_id for r in p2_found(spark, f"{tmp_path}/timed").collect()}
+    assert want and {r.chunk_id for r in p2_found(spark, f"{tmp_path}/null").collect()} == want

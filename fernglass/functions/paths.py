@@ -25,30 +25,19 @@ def canonical_path(path: Column) -> Column:
     return F.when(odd, F.array_join(folded, "/")).otherwise(path)
 
 
+#: What each wildcard of a path glob matches, longest first.
+WILDCARDS = {"**/": "(?:.+/)?", "**": ".*", "*": "[^/]*", "?": "[^/]"}
+_PIECES = re.compile("(" + "|".join(map(re.escape, WILDCARDS)) + ")")
+
+
 def glob_to_regex(pattern: str) -> str:
-    """Anchored regex of a path glob, built in one left-to-right scan.
+    """Anchored regex of a path glob: the pattern is split at its wildcards, the text between them is literal.
 
     ``**/`` spans zero or more whole segments, ``**`` anything, ``*`` and ``?``
-    stay inside a segment, everything else is literal.
+    stay inside a segment.
     """
-    out, i = [], 0
-    while i < len(pattern):
-        if pattern.startswith("**/", i):
-            out.append("(?:.+/)?")
-            i += 3
-        elif pattern.startswith("**", i):
-            out.append(".*")
-            i += 2
-        elif pattern[i] == "*":
-            out.append("[^/]*")
-            i += 1
-        elif pattern[i] == "?":
-            out.append("[^/]")
-            i += 1
-        else:
-            out.append(re.sub(r"([\\.+^$(){}|\[\]])", r"\\\1", pattern[i]))
-            i += 1
-    return "^" + "".join(out) + "$"
+    pieces = _PIECES.split(pattern)
+    return "^" + "".join(WILDCARDS[p] if i % 2 else re.escape(p) for i, p in enumerate(pieces)) + "$"
 
 
 def glob_match(path: Column, pattern: str) -> Column:

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 #: Fixed values of the reference behaviour.
 BODY_CLIP = 500
 MIN_TERM = 3
+#: Where a name falls into words: other characters, before a capital after a small letter or digit, before the last capital of a run that a small letter follows.
+NAME_BOUNDARY = r"[^A-Za-z0-9]+|(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])"
 #: Types that never need context in a signature.
 BUILT_IN_TYPES = [
     "string", "number", "boolean", "void", "null", "undefined", "never", "any",
@@ -25,8 +27,7 @@ def query_terms(query: Column) -> Column:
 
 def identifier_words(query: Column) -> Column:
     """Camel, acronym and punctuation parts of an identifier, lower case, three or more characters, first seen kept."""
-    spaced = F.regexp_replace(F.regexp_replace(query, "([a-z0-9])([A-Z])", "$1 $2"), "([A-Z]+)([A-Z][a-z])", "$1 $2")
-    parts = F.transform(F.split(spaced, "[^A-Za-z0-9]+"), lambda t: F.lower(t))
+    parts = F.transform(F.split(query, NAME_BOUNDARY), lambda t: F.lower(t))
     return F.array_distinct(F.filter(parts, lambda t: F.length(t) >= MIN_TERM))
 
 

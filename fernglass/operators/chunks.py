@@ -17,3 +17,9 @@ def latest(rows: DataFrame, key: str, at: str, columns: list[str]) -> DataFrame:
 def current(rows: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """Rows not deleted, the latest life of each key."""
     return latest(rows.filter("deleted_at is null"), key, "indexed_at", columns)
+
+
+def once(rows: DataFrame, key: str) -> DataFrame:
+    """One row per key of a table in which rows repeat, the least where they differ. Combines before it shuffles."""
+    rest = [c for c in rows.columns if c != key]
+    return rows.groupBy(key).agg(F.min(F.struct(*rest)).alias("least of key")).select(key, *[F.col("least of key")[c].alias(c) for c in rest])

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from fernglass.operators import chunks
+
 KEEP_RAW_DAYS, KEEP_DAILY_DAYS = 7, 90
 FOLLOW_ON = ("signature", "exports")
 
@@ -13,8 +15,8 @@ METRIC_COLUMNS = ["call_timestamp", "tool_name", "tokens_returned", "tokens_full
 
 
 def once(rows: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """One row per key of a log in which rows repeat; combines before it shuffles."""
-    return rows.groupBy(key).agg(*[F.first(c).alias(c) for c in columns])
+    """One row per key of a log in which rows repeat."""
+    return chunks.once(rows.select(key, *columns), key)
 
 
 def day_of(seconds: Column) -> Column:

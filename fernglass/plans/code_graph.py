@@ -9,7 +9,7 @@ from fernglass.functions.paths import canonical_path
 from fernglass.functions.text import pascal_types
 from fernglass.operators import checker as C
 from fernglass.operators import graph as G
-from fernglass.operators.chunks import latest
+from fernglass.operators.chunks import latest, once
 from fernglass.plans.graph_orphans import _sql_path
 from fernglass.session import table
 
@@ -24,7 +24,7 @@ def edges(spark: SparkSession, sf: str) -> DataFrame:
 
 def imports(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "imports").select("import_id", "file_path", "ordinal", "module", "symbols", "is_external", canonical_path(F.col("resolved_path")).alias("resolved_path"))
-    return rows.dropDuplicates(["import_id"])
+    return once(rows, "import_id")
 
 
 def _calls(spark: SparkSession, sf: str) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from fernglass.operators import evalstats as E
 from fernglass.operators import search as S
+from fernglass.operators.chunks import once
 from fernglass.plans.code_search import ASKED, _rankers, chunks
 from fernglass.plans.telemetry_reports import _DAY, _M, calls
 from fernglass.session import materialize, table
@@ -23,7 +24,7 @@ def _results(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _targets(spark: SparkSession, sf: str) -> DataFrame:
-    s = table(spark, sf, "symbols").filter("deleted_at is null and is_exported and kind in ('function', 'method')").select("symbol_id", "name", "file_path", "line").dropDuplicates(["symbol_id"])
+    s = once(table(spark, sf, "symbols").filter("deleted_at is null and is_exported and kind in ('function', 'method')").select("symbol_id", "name", "file_path", "line"), "symbol_id")
     return s.select(F.col("file_path").alias("query_id"), F.col("symbol_id").alias("target_id"), "file_path", F.col("name").alias("symbol"), "line")
 
 
@@ -34,7 +35,7 @@ def ndcg_at_10(spark: SparkSession, sf: str) -> DataFrame:
 
 def _asked_targets(spark: SparkSession, sf: str) -> DataFrame:
     """What the queries ask for: the symbols whose name, or its last segment, they hold."""
-    s = table(spark, sf, "symbols").filter("deleted_at is null").select("symbol_id", "name", "file_path", "line").dropDuplicates(["symbol_id"])
+    s = once(table(spark, sf, "symbols").filter("deleted_at is null").select("symbol_id", "name", "file_path", "line"), "symbol_id")
     words = spark.createDataFrame([(q, w.lower()) for q, text in ASKED for w in S.name_terms(text)], "query_id int, word string").distinct()
     named = s.withColumn("word", F.explode(F.array_distinct(F.array(F.lower("name"), F.lower(F.substring_index("name", ".", -1))))))
     # a few words of the fixed queries

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fernglass.operators import telemetry as T
+from fernglass.operators.chunks import once
 from fernglass.session import table
 
 
@@ -65,12 +66,12 @@ def status_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def import_symbols_capped(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "imports").dropDuplicates(["import_id"]).select("import_id", T.cap_json_list(F.col("symbols"), 2).alias("json"))
+    return once(table(spark, sf, "imports").select("import_id", "symbols"), "import_id").select("import_id", T.cap_json_list(F.col("symbols"), 2).alias("json"))
 
 
 def file_token_bound(spark: SparkSession, sf: str) -> DataFrame:
     """Upper bound of tokens per repository: distinct files, a quarter of their bytes each, rounded up."""
-    rows = table(spark, sf, "files").filter("deleted_at is null").select("path", F.octet_length("content").alias("bytes")).dropDuplicates(["path"])
+    rows = table(spark, sf, "files").filter("deleted_at is null").groupBy("path").agg(F.max_by(F.octet_length("content"), F.struct("indexed_at", "file_id")).alias("bytes"))
     return rows.groupBy(F.substring_index("path", "/", 1).alias("repo")).agg(F.count("*").alias("n_files"), F.sum(F.ceil(F.coalesce("bytes", F.lit(0)) / 4.0)).alias("token_bound"))
 
 

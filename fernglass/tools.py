@@ -9,7 +9,7 @@ from fernglass.functions.paths import glob_match
 from fernglass.functions.text import clip, first_doc_comment, pascal_types
 from fernglass.operators import graph as G
 from fernglass.operators import ingest, search, telemetry
-from fernglass.operators.chunks import latest
+from fernglass.operators.chunks import latest, once
 
 PAGE = 50
 
@@ -26,7 +26,7 @@ class CodeIndex:
         self.chunks = latest(tables["chunks"], "chunk_id", "file_mtime", ["chunk_id", "file_path", "start_line", "end_line", "content", "chunk_type", "symbol_name", "parent_symbol", "is_exported", "language"])
         self.symbols = G.current_symbols(tables["symbols"])
         self.edges = G.distinct_edges(tables["edges"])
-        self.imports = tables["imports"].dropDuplicates(["import_id"])
+        self.imports = once(tables["imports"], "import_id")
 
     def search(self, query: str, limit: int = 10, *, language: str | None = None, file_pattern: str | None = None, chunk_type: str | None = None, only_exported: bool = False) -> DataFrame:
         scope, post = self._all(language and F.col("language") == language, file_pattern and glob_match(F.col("file_path"), file_pattern)), self._all(chunk_type and F.col("chunk_type") == chunk_type, only_exported and F.col("is_exported"))

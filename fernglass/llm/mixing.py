@@ -2,19 +2,22 @@
 
 The mix is as large as the scarcest source allows: the total T is the least of
 ``max_repeats * available / share`` over the sources that have any tokens, the
-shares taken relative to those sources. Each source's tokens are laid end to
-end in hash order, pass after pass, and cut into blocks. Block j of a source of
-weight w may start at slot ``floor(j / w)`` and must be done by ``ceil((j + 1) / w)``;
-earliest deadline first over these windows interleaves the sources so that
-they are never a block ahead or behind. A document may span many blocks: it is
-used whole, in the slot of the block that holds its middle, so after any slot a
-source deviates from its target by less than one block and half its longest document.
+shares taken relative to those sources. Each source's drawn documents are laid
+end to end in hash order, pass after pass, and form blocks: a block is the
+documents that begin in one stretch of T / ``BLOCKS`` tokens, so it is at least
+one whole document, and there are at most ``BLOCKS`` blocks and one a source.
+A block that takes the tokens from ``a`` to ``b`` of a source of weight ``w`` is
+released at ``a / w`` tokens of the mix and due at ``b / w``; the mix takes the
+block of earliest deadline among those released. So at any point of the mix,
+within blocks too, no source is a whole block ahead of or behind its share of
+what has been drawn, where a block is the longest of the schedule.
 
 Defined results: sources without documents, and sources without a positive
 target, are left out and reported with share 0; documents of unknown sources
 are not drawn; a null text has no tokens; repeated rows are separate
 documents; the last, partial pass takes documents up to the one nearest to
-the target, so a source deviates by at most half a document from its share.
+the target, so a source's total deviates by at most half a document from its
+target.
 """
 
 from __future__ import annotations
@@ -27,7 +30,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Slots of the schedule, whatever the size of the corpus: one block is 1/BLOCKS of the mix.
+from fernglass.session import materialize
+
+#: Stretches the mix is cut into, whatever the size of the corpus; with more documents than that, a block holds many.
 BLOCKS = 1 << 14
 #: Rows a prefix-sum bucket should hold.
 BUCKET_ROWS = 20_000
@@ -60,22 +65,34 @@ def plan_mix(available: dict[str, int], targets: dict[str, tuple[float, int]], t
     return out
 
 
-def schedule(weights: dict[str, float], slots: int = BLOCKS) -> list[tuple[str, int]]:
-    """(source, block) of each slot: earliest deadline first among released blocks."""
-    waiting, ready, out = [], [], []
-    for s, w in weights.items():
-        waiting.append((0, s, 0, w))
-    heapq.heapify(waiting)
-    for t in range(slots):
-        while waiting and waiting[0][0] <= t:
-            _, s, j, w = heapq.heappop(waiting)
-            heapq.heappush(ready, (math.ceil((j + 1) / w - 1e-9), s, j, w))
-        if not ready:
-            _, s, j, w = heapq.heappop(waiting)
-            ready.append((0, s, j, w))
-        _, s, j, w = heapq.heappop(ready)
-        out.append((s, j))
-        heapq.heappush(waiting, (math.floor((j + 1) / w + 1e-9), s, j + 1, w))
+def schedule(blocks: dict[str, list[int]]) -> list[tuple[str, int]]:
+    """(source, index) of every block in the order of the mix: earliest deadline first among released blocks.
+
+    ``blocks`` has the tokens of each source's blocks in order; a source's weight is its part of all tokens.
+    """
+    total = {s: sum(b) for s, b in blocks.items()}
+    every = sum(total.values())
+    waiting, ready, out, now = [], [], [], 0
+    ends = dict.fromkeys(blocks, 0)
+
+    def release(s: str, i: int) -> None:
+        """Times in tokens of the mix; a source of empty documents is due at once."""
+        begin, ends[s] = ends[s], ends[s] + blocks[s][i]
+        pace = every / total[s] if total[s] else 0.0
+        heapq.heappush(waiting, (begin * pace, s, i, ends[s] * pace))
+
+    for s in sorted(blocks):
+        if blocks[s]:
+            release(s, 0)
+    while waiting or ready:
+        while waiting and (waiting[0][0] <= now + 1e-6 or not ready):
+            _, s, i, due = heapq.heappop(waiting)
+            heapq.heappush(ready, (due, s, i))
+        _, s, i = heapq.heappop(ready)
+        out.append((s, i))
+        now += blocks[s][i]
+        if i + 1 < len(blocks[s]):
+            release(s, i + 1)
     return out
 
 
@@ -105,26 +122,25 @@ def draw(documents: DataFrame, plans: list[Plan], seed: int = 0, rows: int | Non
     return docs.select("doc_id", "source", "n_tokens", (F.col("full") + once_more.cast("int")).alias("repeats"), "position").filter("repeats > 0")
 
 
-def interleave(drawn: DataFrame, plans: list[Plan], slots: int = BLOCKS) -> DataFrame:
-    """One row per use of a document, with the slot of the mix it falls in; the mix is in order of slot, at, doc_id.
+def interleave(drawn: DataFrame, plans: list[Plan], blocks: int = BLOCKS) -> DataFrame:
+    """One row per use of a document, with the slot of the schedule its block has; the mix is in order of slot, at, doc_id.
 
-    The schedule has ``slots`` rows at any corpus size, so it is broadcast. One
-    more slot per source at its end takes what rounding leaves over.
+    The blocks' sizes are all that reaches the driver, ``blocks`` and one a
+    source at most; the schedule has as many rows, so it is broadcast.
     """
     spark = drawn.sparkSession
-    total = sum(p.need for p in plans)
-    block = max(1.0, total / slots)
-    order = schedule({p.source: p.weight for p in plans}, math.ceil(total / block)) if plans else []
-    end = {p.source: 0 for p in plans}
-    for s, j in order:
-        end[s] = j + 1
-    order += sorted(end.items())
-    table = spark.createDataFrame([(s, j, t) for t, (s, j) in enumerate(order)], "source string, block bigint, slot bigint")
-    sizes = spark.createDataFrame([(p.source, p.available, end[p.source]) for p in plans], "source string, available bigint, end bigint")
+    stretch = max(1.0, sum(p.need for p in plans) / blocks)
+    # one row per source of the fixed target table
+    sizes = spark.createDataFrame([(p.source, p.available) for p in plans], "source string, available bigint")
     uses = drawn.join(F.broadcast(sizes), "source").select("*", F.explode(F.sequence(F.lit(0), (F.col("repeats") - 1).cast("int"))).alias("pass"))
     at = F.col("pass") * F.col("available") + F.col("position")
-    middle = F.floor((at + F.col("n_tokens") / 2) / F.lit(block)).cast("bigint")
-    uses = uses.select("doc_id", "source", "n_tokens", "repeats", "pass", at.alias("at"), F.least(middle, F.col("end")).alias("block"))
+    uses = materialize(uses.select("doc_id", "source", "n_tokens", "repeats", "pass", at.alias("at"), F.floor(at / F.lit(stretch)).cast("bigint").alias("block")))
+    filled: dict[str, list[tuple[int, int]]] = {p.source: [] for p in plans}
+    for r in uses.groupBy("source", "block").agg(F.sum("n_tokens").alias("n")).collect():
+        filled[r.source].append((r.block, r.n))
+    ordered = {s: sorted(b) for s, b in filled.items()}
+    order = schedule({s: [n for _, n in b] for s, b in ordered.items()})
+    table = spark.createDataFrame([(s, ordered[s][i][0], t) for t, (s, i) in enumerate(order)], "source string, block bigint, slot bigint")
     return uses.join(F.broadcast(table), ["source", "block"]).select("slot", "at", "source", "doc_id", "pass", "n_tokens", "repeats")
 
 

@@ -20,7 +20,7 @@ KEYWORDS = (
     "break case catch class const continue debugger default delete do else enum export extends finally for function if import in instanceof new return switch throw try typeof var void while with"
 ).split()
 CONTEXTUAL = "async await yield let of as from get set static".split()
-TYPED = "type interface implements private public protected readonly abstract declare namespace module keyof is infer satisfies asserts override unique".split()
+TYPED = "type interface implements private public protected readonly abstract declare namespace module keyof is infer satisfies asserts override unique accessor".split()
 
 SCRIPT = {
     "$file": "START END | START $stmts END",
@@ -72,7 +72,7 @@ SCRIPT = {
 }
 
 TYPES = {
-    "$name": "type | interface | implements | private | public | protected | readonly | abstract | declare | namespace | module | keyof | is | infer | satisfies | asserts | override | unique",
+    "$name": "type | interface | implements | private | public | protected | readonly | abstract | declare | namespace | module | keyof | is | infer | satisfies | asserts | override | unique | accessor",
     "$stmt": "$typed | export $typed | declare $stmt | export $stmt | abstract $class | export default $typed",
     "$typed": "interface $name { } | interface $name { $shape } | interface $name extends $types { $shape } | interface $name extends $types { } | interface $name $generics $inherit { $shape } | interface $name $generics { $shape } | type $name = $type ; | type $name = $type"
     " | type $name $generics = $type ; | enum $name { } | enum $name { $props } | const enum $name { $props } | namespace $dotted $block | module $dotted $block | module STR $block | abstract $class | declare $stmt | function $name $sig ; | export = $expr ; | import $name = $expr ;",
@@ -99,7 +99,7 @@ TYPES = {
     "$function": "function $tsig $block | function $name $tsig $block | function * $tsig $block | function * $name $tsig $block",
     "$tsig": "$sig : $type | $generics $sig | $generics $sig : $type",
     "$method": "$key $tsig $block | $key ? $sig $block | $modifiers $method",
-    "$modifiers": "private | public | protected | readonly | abstract | override | static | declare | async",
+    "$modifiers": "private | public | protected | readonly | abstract | override | static | declare | async | accessor",
     "$member": "$modifiers $member | $key $sig : $type ; | $key $tsig ; | $key $sig ; | [ $name : $type ] : $type ; | $key $sig : $type",
     "$field": "$key : $type | $key : $type = $expr | $key ? : $type | $key ! : $type | $key ?",
     "$class": "class $name $generics $classbody | class $name $generics extends $expr $classbody | class $name implements $types $classbody | class $name extends $expr implements $types $classbody | class $name $generics implements $types $classbody"

@@ -7,9 +7,18 @@ over these rows, each a windowed reduction within the file:
   language can produce (an anti-join against the derived pair table);
 * brackets and JSX tags must nest: at each depth, openings and closings of the
   same kind alternate, and the file ends at depth 0;
-* colons must belong to something: outside TypeScript a colon directly inside
-  parentheses or square brackets, or after a closing parenthesis, needs a
-  pending ``?`` or a ``case``; and a string key needs an object, not a block.
+* statements must follow their productions. Within a few neighbours of a token
+  (lags and leads): what may be assigned to, bound, declared, imported,
+  exported or caught, the initialiser of a const, statements that need a
+  function or a loop around them. At the depth of a bracket: handlers of try,
+  what else may follow, await in a function that is not async, names declared
+  twice in a block, and colons, which outside TypeScript need a pending ``?`` or
+  a ``case`` when directly inside parentheses or square brackets or after a
+  closing parenthesis; a string key needs an object, not a block; items are
+  left out only between square brackets.
+
+Runs of blanks and of line ends are shortened to one before lexing, so a look
+back over blanks is complete however long they were.
 
 Defined results: null content is not judged; empty files, comments alone, a
 leading byte-order mark and a ``#!`` line are valid; extensions without a
@@ -19,11 +28,13 @@ file, so give each file once. Texts of any length are read whole.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from fernglass.llm.grammar import CONTEXTUAL, KEYWORDS, TYPED, permissible
+from fernglass.llm.grammar import ASSIGN, CONTEXTUAL, KEYWORDS, TYPED, permissible
 from fernglass.llm.lexer import DOUBLE, REGEX, SINGLE
 
 def _either(words: list[str]) -> str:
@@ -43,21 +54,30 @@ _ATOM = rf"(?:{_NAME}|{_STRING}|{_NUMBER})"
 #: Operators that join operands into one token; commas too, as lists of operands behave like one operand.
 _JOIN = rf"[ ]?(?:,|===|!==|&&|\|\||[+*])[ ](?!(?:{_either([*CONTEXTUAL, *TYPED])})\b)"
 _TEMPLATE = r"`[^`\\$]*+(?:(?:\\[\s\S]|\$(?!\{)|\$\{[^{}`]*+(?:(?:`[^`]*+`|\{[^{}]*+\})[^{}`]*+)*+\})[^`\\$]*+)*+`"
-_BEFORE_REGEX = r"(?<=^|[=(,:;!&|?{\[+*%~^>\n]|[=(,:;!&|?{\[+*%~^>\n][ \t]{1,12}|\breturn[ \t]{1,3}|\btypeof[ \t]{1,3}|\bcase[ \t]{1,3})"
+#: Blanks have been shortened to one before.
+_BEFORE_REGEX = r"(?<=^|[=(,:;!&|?{\[+*%~^>\n]|[=(,:;!&|?{\[+*%~^>] |\b(?:return|typeof|case|in|of|void|delete|throw|new|else|do|await|yield)|\b(?:return|typeof|case|in|of|void|delete|throw|new|else|do|await|yield) )"
+#: In types, angle brackets that stand together close or open lists of types, so only scripts shift with them unseparated.
+_SHIFT = r">>>(?!=)|>>(?![>=])|<<(?!=)"
 _PUNCT = r">>>=|\.\.\.|===|!==|\*\*=|<<=|>>=|&&=|\|\|=|\?\?=|=>|==|!=|<=|>=|&&|\|\||\?\?|\?\.(?!\d)|\+\+|--|[-+*/%&|^]=|\*\*|[{}()\[\];,<>+\-*/%&|^!~?:=@]"
 _CONFLICT = r"<{7}(?=[ \r\n])|>{7}(?=[ \r\n])|={7}(?=[ \r\n])|\|{7}(?=[ \r\n])"
 _SPACE = r"(?:[ \t\r\f\x0B\x{A0}\x{FEFF}\x{2028}\x{2029}]++|//[^\n]*+|/\*[\s\S]*?\*/)*+"
-_CORE = rf"{_CONFLICT}|{_ATOM}(?:{_JOIN}{_ATOM})*+|(?:{_WORD})\b|\??\.[\p{{L}}_$#][\w$\p{{L}}]*+(?:\??\.[\p{{L}}_$#][\w$\p{{L}}]*+)*+|{_TEMPLATE}|(?=/){_BEFORE_REGEX}{REGEX}|{_PUNCT}|\x04\z|[\s\S]"
+_START = rf"{_CONFLICT}|{_ATOM}(?:{_JOIN}{_ATOM})*+|(?:{_WORD})\b|\??\.[\p{{L}}_$#][\w$\p{{L}}]*+(?:\??\.[\p{{L}}_$#][\w$\p{{L}}]*+)*+|{_TEMPLATE}|(?=/){_BEFORE_REGEX}{REGEX}"
+_END = rf"{_PUNCT}|\x04\z|[\s\S]"
 _BRACES = r"\{[^{}]*+(?:\{[^{}]*+(?:\{[^{}]*+\}[^{}]*+)*+\}[^{}]*+)*+\}"
 _TAG = rf"<[A-Za-z][\w.:-]*+(?=[\s/>])(?!\s+extends\b)(?:\s++[\w:-]++(?:=(?:\"[^\"]*+\"|'[^']*+'|{_BRACES}))?+|\s*+\{{\.\.\.[^{{}}]*+\}})*+\s*+"
 #: The text of an element is part of the tag before it, or of the closing tag when it follows an expression in braces.
 _AFTER = r"(?:[^<>{}();=:]*+(?=</|<[A-Za-z])|[^<>{}();=:\n]*+(?=\{))?+"
 _CLOSE = rf"</(?:[A-Za-z][\w.:-]*+)?+\s*+>{_AFTER}"
-_JSX = rf"{_CLOSE}|(?=(?:[^<>{{}}\n]++|[^<>{{}}();=]++)</)(?<=\}}\s{{0,40}})[^<>{{}}]++{_CLOSE}|(?<![\w$)\]])(?:<>|{_TAG}>)(?:[^<>{{}}]*+(?=[<{{]))?+|(?<![\w$)\]]){_TAG}/>"
+_JSX = rf"{_CLOSE}|(?=(?:[^<>{{}}\n]++|[^<>{{}}();=]++)</)(?<=\}}[ \n]?)[^<>{{}}]++{_CLOSE}|(?<![\w$)\]])(?:<>|{_TAG}>)(?:[^<>{{}}]*+(?=[<{{]))?+|(?<![\w$)\]]){_TAG}/>"
+
+_IDENT = r"[\p{L}_$][\w$\p{L}]*"
+#: What a token merged of operands holds: a comma, more than names and commas, an optional chain at its end, an operator
+#: before its last operand, a call at its end, and a call of one name with names alone, which may head a function.
+LISTED, COMPOUND, OPTIONAL, BINARY, CALL, HEAD = 1, 2, 4, 8, 16, 32
 
 BAD = "BAD"
 PUNCTUATION = (
-    "( ) [ ] { } ; , < > <= >= == != === !== + - * / % ** ++ -- ! ~ & | ^ && || ?? ?. ? : = => ... @ += -= *= /= %= **= <<= >>= >>>= &= |= ^= &&= ||= ??="
+    "( ) [ ] { } ; , < > << >> >>> <= >= == != === !== + - * / % ** ++ -- ! ~ & | ^ && || ?? ?. ? : = => ... @ += -= *= /= %= **= <<= >>= >>>= &= |= ^= &&= ||= ??="
 ).split()
 EXTENSIONS = {"ts": "ts", "mts": "ts", "tsx": "tsx", "js": "js", "mjs": "js", "jsx": "jsx"}
 
@@ -71,14 +91,23 @@ def language(path: Column) -> Column:
     return F.when(path.contains("."), out)
 
 
-def lex_files(files: DataFrame) -> DataFrame:
-    """(file_id, lang, pos, tok): line ends and significant tokens of every file with a grammar."""
-    text = F.concat(F.lit("\n"), F.regexp_replace(F.col("content"), r"^\x{FEFF}?#![^\n]*", ""), F.lit("\n\x04"))
+def _pattern(lang: str) -> str:
+    """Tokens of one language, each in the first group, with the blanks and comments after it."""
     # a line end matters only after what can end a statement: after an opening or a separator it is passed over
     after = rf"{_SPACE}(?:(?<=[;{{(\[,])(?:\n{_SPACE})++)?+"
-    plain, jsx = rf"(\n|{_CORE}){after}", rf"(\n|{_JSX}|{_CORE}){after}"
+    markup = f"{_JSX}|" if lang in ("tsx", "jsx") else ""
+    return rf"(\n|{markup}{_START}|{_SHIFT if lang in ('js', 'jsx') else '(?<= )(?:>>>?|<<)(?= )'}|{_END}){after}"
+
+
+def lex_files(files: DataFrame) -> DataFrame:
+    """(file_id, lang, pos, tok): line ends and significant tokens of every file with a grammar."""
+    text = F.regexp_replace(F.col("content"), r"^\x{FEFF}?#![^\n]*", "")
+    text = F.regexp_replace(F.regexp_replace(text, r"[ \t\r\f\x0B]{2,}|[\t\r\f\x0B]", " "), r" ?\n[ \n]+| \n", "\n")
+    text = F.concat(F.lit("\n"), text, F.lit("\n\x04"))
     rows = files.filter("content is not null").select("file_id", language(F.col("path")).alias("lang"), text.alias("text")).filter("lang is not null")
-    tokens = F.when(F.col("lang").isin("tsx", "jsx"), F.regexp_extract_all("text", F.lit(jsx), F.lit(1))).otherwise(F.regexp_extract_all("text", F.lit(plain), F.lit(1)))
+    tokens = F.lit(None)
+    for lang in ("js", "jsx", "ts", "tsx"):
+        tokens = F.when(F.col("lang") == lang, F.regexp_extract_all("text", F.lit(_pattern(lang)), F.lit(1))).otherwise(tokens)
     return rows.select("file_id", "lang", F.posexplode(tokens).alias("pos", "tok"))
 
 
@@ -103,7 +132,7 @@ def with_classes(tokens: DataFrame) -> DataFrame:
 
     long = F.col("n") > 1
     element = F.when(tok.contains("</"), "JCLOSE").when(tok.endswith("/>"), "JSELF").otherwise("JTAG")
-    in_jsx = lang.isin("tsx", "jsx") & long & (((F.col("c1") == code["<"]) & ~tok.isin("<=", "<<=")) | (tok.contains("</") & ~F.col("c1").isin(code["'"], code['"'], code["`"], code["/"]) & tok.rlike(r"</[\w.:-]*\s*>[^'\"`]*$")))
+    in_jsx = lang.isin("tsx", "jsx") & long & (((F.col("c1") == code["<"]) & ~tok.isin("<=", "<<=", "<<")) | (tok.contains("</") & ~F.col("c1").isin(code["'"], code['"'], code["`"], code["/"]) & tok.rlike(r"</[\w.:-]*\s*>[^'\"`]*$")))
     cls = (
         F.when(F.col("c1") == code["\n"], F.lit(None).cast("string"))
         .when(in_jsx, element)
@@ -127,22 +156,90 @@ def with_classes(tokens: DataFrame) -> DataFrame:
         .when(F.col("c2").isin(code["'"], code['"']), "STR")
         .otherwise(F.col("cls"))
     )
-    return rows.select("file_id", "lang", "pos", "cls", end.alias("end"))
+    # what a merged token holds, as flags; and the hash of a single name
+    flag = lambda on, bit: F.when(on, bit).otherwise(0)
+    operand = F.col("cls").isin("ID", "NUM", "STR") & long
+    call = F.col("c2") == code[")"]
+    shape = F.when(
+        operand,
+        flag(tok.contains(","), LISTED)
+        + flag(tok.rlike(r"[.(?+*&|='\"]"), COMPOUND)
+        + flag(tok.contains("?.") & tok.rlike(r"\?\.[\w$.]*$"), OPTIONAL)
+        + flag(tok.contains(" ") & tok.rlike(r"[+*&|=] [^,(]*$"), BINARY)
+        + flag(call, CALL)
+        + flag(call & tok.rlike(rf"(?:^|, )#?{_IDENT}\((?:{_IDENT}(?:, {_IDENT})*)?\)$"), HEAD),
+    ).otherwise(0)
+    name = F.when((F.col("cls") == "ID") & ~tok.contains(" "), F.xxhash64(tok))
+    return rows.select("file_id", "lang", "pos", "cls", end.alias("end"), shape.alias("shape"), name.alias("name"))
 
 
 def placed_tokens(files: DataFrame) -> DataFrame:
-    """Token rows with their classes, the class before, whether a line end lies between, and the depth before."""
+    """Token rows with their classes, those of their neighbours, whether a line end lies before, and the depth before."""
     rows = with_classes(lex_files(files))
     step = F.when(F.col("cls").isin("(", "[", "{", "JTAG"), 1).when(F.col("cls").isin(")", "]", "}", "JCLOSE"), -1).otherwise(0)
     w = Window.partitionBy("file_id").orderBy("pos")
     before = w.rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.select("*", (F.lag("cls").over(w).isNull()).alias("nl"), F.coalesce(F.sum(step).over(before), F.lit(0)).alias("depth"), step.alias("step")).filter("cls is not null")
+    lag = lambda c, n, none: F.coalesce(F.lag(c, n).over(w), F.lit(none))
+    # the same order without the line ends, so not sorted again
     return rows.select(
         "*",
-        F.coalesce(F.last("end", ignorenulls=True).over(before), F.lit("START")).alias("prev"),
-        (F.lag("cls").over(w).isNull()).alias("nl"),
-        F.coalesce(F.sum(step).over(before), F.lit(0)).alias("depth"),
-        step.alias("step"),
-    ).filter("cls is not null")
+        lag("end", 1, "START").alias("prev"),
+        lag("end", 2, "START").alias("prev2"),
+        lag("end", 3, "START").alias("prev3"),
+        lag("cls", 1, "START").alias("left"),
+        lag("shape", 1, 0).alias("left_shape"),
+        F.lead("cls").over(w).alias("next"),
+        F.lead("nl").over(w).alias("next_nl"),
+    )
+
+
+def misstated() -> Column:
+    """Whether a token breaks the production of its statement, as far as its neighbours tell."""
+    c = F.col
+    cls, prev, prev2, prev3, follows = c("cls"), c("prev"), c("prev2"), c("prev3"), c("next")
+    has = lambda col, bit: F.col(col).bitwiseAND(F.lit(bit)) != 0
+    name, script, markup = cls == "ID", c("lang").isin("js", "jsx"), c("lang").isin("tsx", "jsx")
+    listed, compound, call, head = (has("shape", x) for x in (LISTED, COMPOUND, CALL, HEAD))
+    begins = prev2.isin("START", ";", "}")
+    target = cls.isin(*ASSIGN) & (
+        has("left_shape", OPTIONAL)
+        | has("left_shape", BINARY)
+        | ((c("left") == "ID") & has("left_shape", CALL) & (prev == ")"))
+        | (c("left").isin("NUM", "STR", "TPL", "RX") & ~has("left_shape", LISTED) & begins & (c("depth") == 0))
+    )
+    bound = name & prev.isin("const", "let", "var") & compound
+    bare = name & (prev == "const") & ~prev2.isin("declare", "as", "<", ",") & (listed | ~F.coalesce(follows, F.lit("END")).isin("=", ":", "of", "in", "!"))
+    # the last of several constants, as in ``const a = 1, b;``
+    last = (prev == "=") & (prev3 == "const") & listed & (c("end") == "ID") & follows.isin(";", "END")
+    function = name & ((prev == "function") | ((prev == "*") & (prev2 == "function"))) & ((call & ~head) | (~call & (listed | compound)))
+    first = (prev == "(") & ((prev2 == "function") | (prev3 == "function"))
+    parameter = name & first & compound
+    body = name & call & ~head & (follows == "{") & ~c("next_nl") & ~prev.isin("extends", "implements") & ~(markup & prev.isin("}", "JTAG", "JCLOSE", "JSELF"))
+    imported = name & listed & (follows == "from") & ((prev == "import") | ((prev == "type") & (prev2 == "import")))
+    titled = name & prev.isin("class", "interface", "enum") & (listed | compound)
+    value = prev2.isin("(", "[", "return", "&&", "||", "??", "?", ",") | ((prev2 == "=") & ~markup)
+    literal = (script | prev2.isin("(", "return")) & cls.isin("NUM", "STR")
+    shorthand = (prev == "{") & value & follows.isin("}", ",") & ((name & compound) | literal)
+    caught = name & (prev == "(") & (prev2 == "catch") & (listed | compound)
+    exported = name & (prev == "{") & (prev2 == "export") & compound
+    top = (c("depth") == 0) & ((cls == "return") & prev.isin("START", ";", "}") | cls.isin("break", "continue") & prev.isin("START", ";", "}"))
+    rules = [target, bound, bare, last, function, parameter, body, imported, titled, shorthand, caught, exported, top & ~follows.isin(":", "(", "=", ",")]
+    # few tokens come into question, and only these pay for the rules
+    merged = (c("shape") != 0) & (call | prev.isin("const", "let", "var", "function", "*", "(", "{", "=", "import", "type", "class", "interface", "enum"))
+    assigned = cls.isin("=", *(x for x in ASSIGN if x != "=")) & ((c("left_shape") != 0) | c("left").isin("NUM", "STR", "TPL", "RX"))
+    asked = merged | (prev == "const") | ((prev == "{") & cls.isin("NUM", "STR")) | assigned | ((c("depth") == 0) & cls.isin("return", "break", "continue"))
+    # within a lambda, so that the rules stay out of the compiled loop over all tokens, which the JVM would be too large to compile with them
+    broken = F.exists(F.array(F.lit(0)), lambda _: F.coalesce(reduce(lambda a, b: a | b, rules), F.lit(False)))
+    return F.when(asked, broken).otherwise(False)
+
+
+def reserved_key() -> Column:
+    """A reserved word that names a property, or the colon after it: any may, though no other production puts it there."""
+    between = ("{", ",", ";")
+    word = F.col("cls").isin(*KEYWORDS) & (F.col("next") == ":") & F.col("prev").isin(*between)
+    colon = (F.col("cls") == ":") & F.col("prev").isin(*KEYWORDS) & F.col("prev2").isin(*between)
+    return F.coalesce(word | colon, F.lit(False))
 
 
 def pair_table(spark) -> DataFrame:
@@ -156,22 +253,32 @@ def invalid_files(files: DataFrame) -> DataFrame:
     tokens = placed_tokens(files)
     known = pair_table(files.sparkSession).withColumn("known", F.lit(True))
     # the pair table is a constant of the grammars
-    judged = tokens.join(F.broadcast(known), ["lang", "prev", "cls", "nl"], "left").withColumn("odd", F.col("known").isNull())
+    judged = tokens.join(F.broadcast(known), ["lang", "prev", "cls", "nl"], "left").withColumn("odd", F.when(F.col("known").isNull(), ~reserved_key()).otherwise(False)).withColumn("misstated", misstated())
     script = F.col("lang").isin("js", "jsx")
     colon = (F.col("cls") == ":") & (script | (F.col("prev") == "STR"))
     opens, closes = F.col("step") == 1, F.col("step") == -1
-    wanted = F.col("odd") | opens | closes | (F.col("cls") == "END") | colon | (script & F.col("cls").isin("?", "case", ",", ";"))
+    declares = F.col("name").isNotNull() & F.col("prev").isin("const", "let", "class")
+    nested_if = (F.col("cls") == "if") & (F.col("prev") == ")")
+    hole = (F.col("cls") == ",") & (F.col("prev") == ",")
+    wanted = F.col("odd") | F.col("misstated") | hole | opens | closes | declares | nested_if | F.col("cls").isin("END", "await") | colon | (script & F.col("cls").isin("?", "case", ",", ";"))
     level = F.when(opens, F.col("depth")).otherwise(F.col("depth") - 1)
-    marks = judged.filter(wanted).select("file_id", "lang", "pos", "prev", "cls", "odd", "depth", "step", level.alias("level"))
+    # the body of a plain function or method: its head stands right before, on the same line
+    plain = (F.col("cls") == "{") & (F.col("left") == "ID") & (F.col("prev") == ")") & ~F.col("nl") & (((F.col("prev2") == "function") & (F.col("prev3") != "async")) | F.col("prev2").isin("{", ";", "static", "public", "private", "protected"))
+    marks = judged.filter(wanted).select("file_id", "lang", "pos", "prev", "cls", "next", "odd", "misstated", "depth", "step", level.alias("level"), plain.alias("plain"), nested_if.alias("nested_if"), F.when(declares, F.col("name")).alias("name"))
     w = Window.partitionBy("file_id", "level").orderBy("pos")
     upto = w.rowsBetween(Window.unboundedPreceding, -1)
     bracket = F.when(F.col("step") != 0, F.col("cls"))
+    # parts in the low half, blocks in the high half of one running sum
+    counts = F.coalesce(F.sum(((F.col("step") != 0) | F.col("cls").isin(",", ";")).cast("bigint") + (F.col("step") == 1).cast("bigint") * F.lit(1 << 32)).over(upto), F.lit(0))
     marks = marks.select(
         "*",
         F.last(bracket, ignorenulls=True).over(upto).alias("partner"),
-        F.last(F.when(F.col("step") == 1, F.col("prev")), ignorenulls=True).over(upto).alias("context"),
-        F.coalesce(F.sum(((F.col("step") != 0) | F.col("cls").isin(",", ";")).cast("int")).over(upto), F.lit(0)).alias("part"),
+        F.last(F.when(F.col("step") == 1, F.struct("prev", "plain")), ignorenulls=True).over(upto).alias("opener"),
+        F.last(F.when((F.col("step") == 1) & (F.col("cls") == "("), F.col("prev")), ignorenulls=True).over(upto).alias("condition"),
+        counts.alias("counts"),
     )
+    part, context = F.col("counts").bitwiseAND(F.lit((1 << 32) - 1)).alias("part"), F.col("opener.prev").alias("context")
+    marks = marks.select("*", part, context, F.col("opener.plain").alias("in_plain"), F.when(F.col("name").isNotNull(), F.xxhash64("level", F.shiftright("counts", 32), "name")).alias("named"))
     v = Window.partitionBy("file_id", "level", "part").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     pending = F.coalesce(F.max(F.col("cls").isin("?", "case")).over(v), F.lit(False))
     marks = marks.withColumn("pending", pending)
@@ -179,5 +286,20 @@ def invalid_files(files: DataFrame) -> DataFrame:
     nesting = ((F.col("step") == -1) & ~F.col("partner").eqNullSafe(matches[F.col("cls")])) | ((F.col("cls") == "END") & (F.col("depth") != 0)) | ((F.col("step") == 1) & F.col("partner").isin("(", "[", "{", "JTAG"))
     stray = script & (F.col("cls") == ":") & ~F.col("pending") & (F.col("partner").isin("(", "[") | (F.col("prev") == ")"))
     block = (F.col("cls") == ":") & (F.col("prev") == "STR") & (F.col("partner") == "{") & F.col("context").isin("START", ";") & ~F.col("pending")
-    bad = marks.groupBy("file_id").agg(F.count_if("odd").alias("adjacency"), F.count_if(nesting).alias("nesting"), F.count_if(stray | block).alias("statement"))
-    return bad.filter("adjacency + nesting + statement > 0")
+    ends = (F.col("cls") == "}") & (F.col("partner") == "{")
+    handler = ends & ((F.col("context") == "try") & ~F.col("next").isin("catch", "finally") | (F.col("context") == "finally") & (F.col("next") == "catch"))
+    other = ends & (F.col("next") == "else") & (F.col("context").isin("try", "finally", "do") | ((F.col("context") == ")") & F.col("condition").isin("while", "for", "switch", "catch", "with")))
+    # two in a row are right only where an if without braces holds another
+    twice = ends & (F.col("next") == "else") & (F.col("context") == "else")
+    awaits = (F.col("cls") == "await") & (F.col("partner") == "{") & F.col("in_plain") & ~F.col("next").isin(":", "(", "=", ",", "}")
+    counted = marks.groupBy("file_id", "named").agg(
+        F.count_if("odd").alias("adjacency"),
+        F.count_if(nesting).alias("nesting"),
+        F.count_if(F.col("misstated") | stray | block | handler | other | awaits | (hole & (F.col("partner") != "["))).alias("statement"),
+        F.count_if("nested_if").alias("nested_ifs"),
+        F.count_if(twice).alias("elses"),
+        F.greatest(F.count("named") - 1, F.lit(0)).alias("again"),
+    )
+    bad = counted.groupBy("file_id").agg(*[F.sum(c).alias(c) for c in ("adjacency", "nesting", "statement", "nested_ifs", "elses", "again")])
+    statement = F.col("statement") + F.col("again") + F.when(F.col("nested_ifs") == 0, F.col("elses")).otherwise(0)
+    return bad.select("file_id", "adjacency", "nesting", statement.alias("statement")).filter("adjacency + nesting + statement > 0")

@@ -17,7 +17,7 @@ over these rows, each a windowed reduction within the file:
   closing parenthesis; a string key needs an object, not a block; items are
   left out only between square brackets.
 
-Runs of blanks and of line ends are shortened to one before lexing, so a look
+Runs of blanks are shortened to one, and those after a line end left out, before lexing, so a look
 back over blanks is complete however long they were.
 
 Defined results: null content is not judged; empty files, comments alone, a
@@ -55,25 +55,27 @@ _ATOM = rf"(?:{_NAME}|{_STRING}|{_NUMBER})"
 _JOIN = rf"[ ]?(?:,|===|!==|&&|\|\||[+*])[ ](?!(?:{_either([*CONTEXTUAL, *TYPED])})\b)"
 _TEMPLATE = r"`[^`\\$]*+(?:(?:\\[\s\S]|\$(?!\{)|\$\{[^{}`]*+(?:(?:`[^`]*+`|\{[^{}]*+\})[^{}`]*+)*+\})[^`\\$]*+)*+`"
 #: Blanks have been shortened to one before.
-_BEFORE_REGEX = r"(?<=^|[=(,:;!&|?{\[+*%~^>\n]|[=(,:;!&|?{\[+*%~^>] |\b(?:return|typeof|case|in|of|void|delete|throw|new|else|do|await|yield)|\b(?:return|typeof|case|in|of|void|delete|throw|new|else|do|await|yield) )"
+_BEFORE_REGEX = r"(?<=^|[=(,:;!&|?{\[+*%~^>\n]|[=(,:;!&|?{\[+*%~^>][ \t]|\b(?:return|typeof|case|in|of|void|delete|throw|new|else|do|await|yield)|\b(?:return|typeof|case|in|of|void|delete|throw|new|else|do|await|yield)[ \t])"
 #: In types, angle brackets that stand together close or open lists of types, so only scripts shift with them unseparated.
 _SHIFT = r">>>(?!=)|>>(?![>=])|<<(?!=)"
 _PUNCT = r">>>=|\.\.\.|===|!==|\*\*=|<<=|>>=|&&=|\|\|=|\?\?=|=>|==|!=|<=|>=|&&|\|\||\?\?|\?\.(?!\d)|\+\+|--|[-+*/%&|^]=|\*\*|[{}()\[\];,<>+\-*/%&|^!~?:=@]"
 _CONFLICT = r"<{7}(?=[ \r\n])|>{7}(?=[ \r\n])|={7}(?=[ \r\n])|\|{7}(?=[ \r\n])"
 _SPACE = r"(?:[ \t\r\f\x0B\x{A0}\x{FEFF}\x{2028}\x{2029}]++|//[^\n]*+|/\*[\s\S]*?\*/)*+"
 _START = rf"{_CONFLICT}|{_ATOM}(?:{_JOIN}{_ATOM})*+|(?:{_WORD})\b|\??\.[\p{{L}}_$#][\w$\p{{L}}]*+(?:\??\.[\p{{L}}_$#][\w$\p{{L}}]*+)*+|{_TEMPLATE}|(?=/){_BEFORE_REGEX}{REGEX}"
-_END = rf"{_PUNCT}|\x04\z|[\s\S]"
+_END = rf"{_PUNCT}|\x04\z|[^\n]"
 _BRACES = r"\{[^{}]*+(?:\{[^{}]*+(?:\{[^{}]*+\}[^{}]*+)*+\}[^{}]*+)*+\}"
 _TAG = rf"<[A-Za-z][\w.:-]*+(?=[\s/>])(?!\s+extends\b)(?:\s++[\w:-]++(?:=(?:\"[^\"]*+\"|'[^']*+'|{_BRACES}))?+|\s*+\{{\.\.\.[^{{}}]*+\}})*+\s*+"
 #: The text of an element is part of the tag before it, or of the closing tag when it follows an expression in braces.
 _AFTER = r"(?:[^<>{}();=:]*+(?=</|<[A-Za-z])|[^<>{}();=:\n]*+(?=\{))?+"
 _CLOSE = rf"</(?:[A-Za-z][\w.:-]*+)?+\s*+>{_AFTER}"
-_JSX = rf"{_CLOSE}|(?=(?:[^<>{{}}\n]++|[^<>{{}}();=]++)</)(?<=\}}[ \n]?)[^<>{{}}]++{_CLOSE}|(?<![\w$)\]])(?:<>|{_TAG}>)(?:[^<>{{}}]*+(?=[<{{]))?+|(?<![\w$)\]]){_TAG}/>"
+_JSX = rf"{_CLOSE}|(?=(?:[^<>{{}}\n]++|[^<>{{}}();=]++)</)(?<=\}}[ \t]?\r?\n?)[^<>{{}}]++{_CLOSE}|(?<![\w$)\]])(?:<>|{_TAG}>)(?:[^<>{{}}]*+(?=[<{{]))?+|(?<![\w$)\]]){_TAG}/>"
 
 _IDENT = r"[\p{L}_$][\w$\p{L}]*"
 #: What a token merged of operands holds: a comma, more than names and commas, an optional chain at its end, an operator
-#: before its last operand, a call at its end, and a call of one name with names alone, which may head a function.
+#: before its last operand, a call at its end, and one that ends in a call of one name with names alone, which may head a function.
 LISTED, COMPOUND, OPTIONAL, BINARY, CALL, HEAD = 1, 2, 4, 8, 16, 32
+#: Whether it is, or begins with, a name or a literal.
+NAME, LITERAL = 64, 128
 
 BAD = "BAD"
 PUNCTUATION = (
@@ -91,18 +93,25 @@ def language(path: Column) -> Column:
     return F.when(path.contains("."), out)
 
 
+#: A line end before a token, with the block comments between, is part of it; other line ends and comments are passed over.
+_BEFORE = r"(?:[ \x{A0}\x{FEFF}\x{2028}\x{2029}]|/\*[\s\S]*?\*/)*+"
+_LINE_END = rf"(?:\n{_BEFORE})?+"
+
+
 def _pattern(lang: str) -> str:
-    """Tokens of one language, each in the first group, with the blanks and comments after it."""
+    """Tokens of one language, each in the first group."""
     # a line end matters only after what can end a statement: after an opening or a separator it is passed over
     after = rf"{_SPACE}(?:(?<=[;{{(\[,])(?:\n{_SPACE})++)?+"
     markup = f"{_JSX}|" if lang in ("tsx", "jsx") else ""
-    return rf"(\n|{markup}{_START}|{_SHIFT if lang in ('js', 'jsx') else '(?<= )(?:>>>?|<<)(?= )'}|{_END}){after}"
+    core = rf"{markup}{_START}|{_SHIFT if lang in ('js', 'jsx') else '(?<= )(?:>>>?|<<)(?= )'}|{_END}"
+    return rf"(?:\n{_SPACE}(?=\n))*+({_LINE_END}(?:{core})){after}"
 
 
 def lex_files(files: DataFrame) -> DataFrame:
-    """(file_id, lang, pos, tok): line ends and significant tokens of every file with a grammar."""
-    text = F.regexp_replace(F.col("content"), r"^\x{FEFF}?#![^\n]*", "")
-    text = F.regexp_replace(F.regexp_replace(text, r"[ \t\r\f\x0B]{2,}|[\t\r\f\x0B]", " "), r" ?\n[ \n]+| \n", "\n")
+    """(file_id, lang, pos, tok): significant tokens of every file with a grammar, those after a line end with it before them."""
+    text = F.regexp_replace(F.col("content"), r"^\x{FEFF}?(?:#![^\n]*)?", "")
+    # blanks after a line end or a blank are left out
+    text = F.regexp_replace(text, r"(?<=\n)[ \t\r\n]++|(?<=[ \t])[ \t\r\f\x0B]++", "")
     text = F.concat(F.lit("\n"), text, F.lit("\n\x04"))
     rows = files.filter("content is not null").select("file_id", language(F.col("path")).alias("lang"), text.alias("text")).filter("lang is not null")
     tokens = F.lit(None)
@@ -112,14 +121,21 @@ def lex_files(files: DataFrame) -> DataFrame:
 
 
 def with_classes(tokens: DataFrame) -> DataFrame:
-    """Adds ``cls`` and ``end``: the class of a token as its left and its right neighbour see it; null for line ends.
+    """Adds ``cls`` and ``end``, the class of a token as its left and its right neighbour see it, and ``nl``, whether a line end is before it.
 
     Runs on every token, so it compares character codes that are taken once,
     not patterns.
     """
     tok, lang = F.col("tok"), F.col("lang")
-    known = tok.isin(*KEYWORDS, *CONTEXTUAL) | (lang.isin("ts", "tsx") & tok.isin(*TYPED))
-    rows = tokens.select("*", F.ascii(tok).alias("c1"), F.ascii(F.substring(tok, -1, 1)).alias("c2"), F.length(tok).alias("n"))
+    short = F.col("n") <= max(map(len, [*KEYWORDS, *CONTEXTUAL, *TYPED]))
+    known = short & (tok.isin(*KEYWORDS, *CONTEXTUAL) | (lang.isin("ts", "tsx") & tok.isin(*TYPED)))
+    nl = F.ascii(tok) == 10
+    second = F.ascii(F.substring(tok, 2, 1))
+    bare = F.when(nl, F.when((second == 32) | (second == 47) | (second > 127), F.regexp_replace(tok, rf"^\n{_BEFORE}", "")).otherwise(F.expr("substring(tok, 2)"))).otherwise(tok)
+    # never null, which spares the compiled loop its null checks: the JVM leaves a loop over 8,000 bytes uncompiled
+    tokens = tokens.select("file_id", "lang", "pos", F.coalesce(bare, F.lit("")).alias("tok"), F.coalesce(nl, F.lit(False)).alias("nl"))
+    size = F.octet_length(tok)
+    rows = tokens.select("*", F.ascii(tok).alias("c1"), F.when(size > 1, F.ascii(F.substring(tok, -1, 1))).otherwise(F.ascii(tok)).alias("c2"), size.alias("n"))
     code = {k: ord(k) for k in "<.?`/'\")\n\x04 "}
 
     def letter(c: str) -> Column:
@@ -134,8 +150,7 @@ def with_classes(tokens: DataFrame) -> DataFrame:
     element = F.when(tok.contains("</"), "JCLOSE").when(tok.endswith("/>"), "JSELF").otherwise("JTAG")
     in_jsx = lang.isin("tsx", "jsx") & long & (((F.col("c1") == code["<"]) & ~tok.isin("<=", "<<=", "<<")) | (tok.contains("</") & ~F.col("c1").isin(code["'"], code['"'], code["`"], code["/"]) & tok.rlike(r"</[\w.:-]*\s*>[^'\"`]*$")))
     cls = (
-        F.when(F.col("c1") == code["\n"], F.lit(None).cast("string"))
-        .when(in_jsx, element)
+        F.when(in_jsx, element)
         .when(letter("c1"), F.when(known, tok).otherwise("ID"))
         .when(digit("c1"), "NUM")
         .when(tok.isin(*PUNCTUATION), tok)
@@ -160,7 +175,8 @@ def with_classes(tokens: DataFrame) -> DataFrame:
     flag = lambda on, bit: F.when(on, bit).otherwise(0)
     operand = F.col("cls").isin("ID", "NUM", "STR") & long
     call = F.col("c2") == code[")"]
-    shape = F.when(
+    kind = F.when(F.col("cls") == "ID", NAME).when(F.col("cls").isin("NUM", "STR", "TPL", "RX"), LITERAL).otherwise(0)
+    shape = kind + F.when(
         operand,
         flag(tok.contains(","), LISTED)
         + flag(tok.rlike(r"[.(?+*&|='\"]"), COMPOUND)
@@ -170,7 +186,7 @@ def with_classes(tokens: DataFrame) -> DataFrame:
         + flag(call & tok.rlike(rf"(?:^|, )#?{_IDENT}\((?:{_IDENT}(?:, {_IDENT})*)?\)$"), HEAD),
     ).otherwise(0)
     name = F.when((F.col("cls") == "ID") & ~tok.contains(" "), F.xxhash64(tok))
-    return rows.select("file_id", "lang", "pos", "cls", end.alias("end"), shape.alias("shape"), name.alias("name"))
+    return rows.select("file_id", "lang", "pos", "nl", "cls", end.alias("end"), shape.alias("shape"), name.alias("name"))
 
 
 def placed_tokens(files: DataFrame) -> DataFrame:
@@ -179,15 +195,14 @@ def placed_tokens(files: DataFrame) -> DataFrame:
     step = F.when(F.col("cls").isin("(", "[", "{", "JTAG"), 1).when(F.col("cls").isin(")", "]", "}", "JCLOSE"), -1).otherwise(0)
     w = Window.partitionBy("file_id").orderBy("pos")
     before = w.rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.select("*", (F.lag("cls").over(w).isNull()).alias("nl"), F.coalesce(F.sum(step).over(before), F.lit(0)).alias("depth"), step.alias("step")).filter("cls is not null")
     lag = lambda c, n, none: F.coalesce(F.lag(c, n).over(w), F.lit(none))
-    # the same order without the line ends, so not sorted again
     return rows.select(
         "*",
+        F.coalesce(F.sum(step).over(before), F.lit(0)).alias("depth"),
+        step.alias("step"),
         lag("end", 1, "START").alias("prev"),
         lag("end", 2, "START").alias("prev2"),
         lag("end", 3, "START").alias("prev3"),
-        lag("cls", 1, "START").alias("left"),
         lag("shape", 1, 0).alias("left_shape"),
         F.lead("cls").over(w).alias("next"),
         F.lead("nl").over(w).alias("next_nl"),
@@ -205,8 +220,8 @@ def misstated() -> Column:
     target = cls.isin(*ASSIGN) & (
         has("left_shape", OPTIONAL)
         | has("left_shape", BINARY)
-        | ((c("left") == "ID") & has("left_shape", CALL) & (prev == ")"))
-        | (c("left").isin("NUM", "STR", "TPL", "RX") & ~has("left_shape", LISTED) & begins & (c("depth") == 0))
+        | (has("left_shape", NAME) & has("left_shape", CALL) & (prev == ")"))
+        | (has("left_shape", LITERAL) & ~has("left_shape", LISTED) & begins & (c("depth") == 0))
     )
     bound = name & prev.isin("const", "let", "var") & compound
     bare = name & (prev == "const") & ~prev2.isin("declare", "as", "<", ",") & (listed | ~F.coalesce(follows, F.lit("END")).isin("=", ":", "of", "in", "!"))
@@ -226,8 +241,8 @@ def misstated() -> Column:
     top = (c("depth") == 0) & ((cls == "return") & prev.isin("START", ";", "}") | cls.isin("break", "continue") & prev.isin("START", ";", "}"))
     rules = [target, bound, bare, last, function, parameter, body, imported, titled, shorthand, caught, exported, top & ~follows.isin(":", "(", "=", ",")]
     # few tokens come into question, and only these pay for the rules
-    merged = (c("shape") != 0) & (call | prev.isin("const", "let", "var", "function", "*", "(", "{", "=", "import", "type", "class", "interface", "enum"))
-    assigned = cls.isin("=", *(x for x in ASSIGN if x != "=")) & ((c("left_shape") != 0) | c("left").isin("NUM", "STR", "TPL", "RX"))
+    merged = (c("shape").bitwiseAND(F.lit(NAME - 1)) != 0) & (call | prev.isin("const", "let", "var", "function", "*", "(", "{", "=", "import", "type", "class", "interface", "enum"))
+    assigned = cls.isin("=", *(x for x in ASSIGN if x != "=")) & (c("left_shape") > NAME)
     asked = merged | (prev == "const") | ((prev == "{") & cls.isin("NUM", "STR")) | assigned | ((c("depth") == 0) & cls.isin("return", "break", "continue"))
     # within a lambda, so that the rules stay out of the compiled loop over all tokens, which the JVM would be too large to compile with them
     broken = F.exists(F.array(F.lit(0)), lambda _: F.coalesce(reduce(lambda a, b: a | b, rules), F.lit(False)))
@@ -263,25 +278,24 @@ def invalid_files(files: DataFrame) -> DataFrame:
     wanted = F.col("odd") | F.col("misstated") | hole | opens | closes | declares | nested_if | F.col("cls").isin("END", "await") | colon | (script & F.col("cls").isin("?", "case", ",", ";"))
     level = F.when(opens, F.col("depth")).otherwise(F.col("depth") - 1)
     # the body of a plain function or method: its head stands right before, on the same line
-    plain = (F.col("cls") == "{") & (F.col("left") == "ID") & (F.col("prev") == ")") & ~F.col("nl") & (((F.col("prev2") == "function") & (F.col("prev3") != "async")) | F.col("prev2").isin("{", ";", "static", "public", "private", "protected"))
+    plain = (F.col("cls") == "{") & (F.col("left_shape").bitwiseAND(F.lit(NAME)) != 0) & (F.col("prev") == ")") & ~F.col("nl") & (((F.col("prev2") == "function") & (F.col("prev3") != "async")) | F.col("prev2").isin("{", ";", "static", "public", "private", "protected"))
     marks = judged.filter(wanted).select("file_id", "lang", "pos", "prev", "cls", "next", "odd", "misstated", "depth", "step", level.alias("level"), plain.alias("plain"), nested_if.alias("nested_if"), F.when(declares, F.col("name")).alias("name"))
     w = Window.partitionBy("file_id", "level").orderBy("pos")
     upto = w.rowsBetween(Window.unboundedPreceding, -1)
     bracket = F.when(F.col("step") != 0, F.col("cls"))
-    # parts in the low half, blocks in the high half of one running sum
-    counts = F.coalesce(F.sum(((F.col("step") != 0) | F.col("cls").isin(",", ";")).cast("bigint") + (F.col("step") == 1).cast("bigint") * F.lit(1 << 32)).over(upto), F.lit(0))
+    at = lambda on: F.coalesce(F.max(F.when(on, F.col("pos"))).over(upto), F.lit(-1))
     marks = marks.select(
         "*",
         F.last(bracket, ignorenulls=True).over(upto).alias("partner"),
         F.last(F.when(F.col("step") == 1, F.struct("prev", "plain")), ignorenulls=True).over(upto).alias("opener"),
         F.last(F.when((F.col("step") == 1) & (F.col("cls") == "("), F.col("prev")), ignorenulls=True).over(upto).alias("condition"),
-        counts.alias("counts"),
+        # the place of the bracket that opened this block tells it from others of its level
+        at(F.col("step") == 1).alias("block"),
+        # a ? or case since the last bracket or separator
+        (at(F.col("cls").isin("?", "case")) > at((F.col("step") != 0) | F.col("cls").isin(",", ";"))).alias("pending"),
     )
-    part, context = F.col("counts").bitwiseAND(F.lit((1 << 32) - 1)).alias("part"), F.col("opener.prev").alias("context")
-    marks = marks.select("*", part, context, F.col("opener.plain").alias("in_plain"), F.when(F.col("name").isNotNull(), F.xxhash64("level", F.shiftright("counts", 32), "name")).alias("named"))
-    v = Window.partitionBy("file_id", "level", "part").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    pending = F.coalesce(F.max(F.col("cls").isin("?", "case")).over(v), F.lit(False))
-    marks = marks.withColumn("pending", pending)
+    named = F.when(F.col("name").isNotNull(), F.xxhash64("level", "block", "name")).alias("named")
+    marks = marks.select("*", F.col("opener.prev").alias("context"), F.col("opener.plain").alias("in_plain"), named)
     matches = F.create_map(*[F.lit(x) for x in (")", "(", "]", "[", "}", "{", "JCLOSE", "JTAG")])
     nesting = ((F.col("step") == -1) & ~F.col("partner").eqNullSafe(matches[F.col("cls")])) | ((F.col("cls") == "END") & (F.col("depth") != 0)) | ((F.col("step") == 1) & F.col("partner").isin("(", "[", "{", "JTAG"))
     stray = script & (F.col("cls") == ":") & ~F.col("pending") & (F.col("partner").isin("(", "[") | (F.col("prev") == ")"))

@@ -4,7 +4,8 @@ Every value maps to a 64-bit integer that sorts like the value. A histogram of
 the leading bits of these integers, with counts per group and day, is the
 daily result: it merges by adding counts. A percentile is found by following
 digits: the counts of the first digit tell which digit holds the target rank,
-only that digit's buckets are split further, and so on.
+only that digit's buckets are split further, and so on. Values are handled as
+doubles: integers beyond 2**53 are those nearest to them.
 
 Stated error: with ``bits`` leading bits kept (12 of them sign and exponent) a
 bucket spans at most ``2**(12-bits)`` of its lower bound, and the middle of the
@@ -95,7 +96,7 @@ def _wide(found: DataFrame, by: list[str], ps: list[float], value: Column) -> Da
 
 
 def percentiles(histograms: DataFrame, by: list[str], ps: list[float], bits: int = BITS) -> DataFrame:
-    """Percentiles within the stated error from (merged) histograms alone: (*by, n, p50, ...).
+    """Percentiles within the stated error from (merged) histograms alone: (*by, n, p50, ...). They are read twice, so should be a written table.
 
     Follows two digits: sign and exponent (at most 4,096 counts a group), then
     the kept mantissa bits of the one exponent that holds the rank.

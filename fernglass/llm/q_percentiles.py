@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fernglass.llm.percentiles import BITS, histogram, percentiles, radix_select
-from fernglass.session import table
+from fernglass.llm.percentiles import BITS, from_order_key, histogram, percentiles, radix_select
+from fernglass.session import materialize, table
 
 PS = [0.5, 0.95, 0.99]
 ERROR = 2.0 ** (11 - BITS)
@@ -24,8 +24,14 @@ def measurements(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def daily(spark: SparkSession, sf: str) -> DataFrame:
-    """The daily results: mergeable histograms per measure, group and day."""
-    return histogram(measurements(spark, sf), ["measure", "grp", "day"], "value")
+    """The daily results, written: mergeable histograms per measure, group and day. Any range of days needs these alone."""
+    return materialize(histogram(measurements(spark, sf), ["measure", "grp", "day"], "value"))
+
+
+def p3_daily_histograms(spark: SparkSession, sf: str) -> DataFrame:
+    """The stored daily result itself, with the lower bound of every bucket."""
+    low = F.shiftleft("bucket", 64 - BITS)
+    return daily(spark, sf).select("measure", "grp", "day", from_order_key(low).alias("at_least"), "n")
 
 
 def p3_daily_percentiles(spark: SparkSession, sf: str) -> DataFrame:
@@ -58,9 +64,10 @@ def _sql(by: str) -> str:
 SELECT measure, grp, {by}, max(n) AS n, {at(50)} AS p50, {at(95)} AS p95, {at(99)} AS p99, CAST({ERROR!r} AS DOUBLE) AS max_rel_error FROM r GROUP BY measure, grp, {by}"""
 
 
-QUERIES = {"p3_daily_percentiles": p3_daily_percentiles, "p3_range_percentiles": p3_range_percentiles, "p3_exact_percentiles": p3_exact_percentiles}
+QUERIES = {"p3_daily_percentiles": p3_daily_percentiles, "p3_daily_histograms": p3_daily_histograms, "p3_range_percentiles": p3_range_percentiles, "p3_exact_percentiles": p3_exact_percentiles}
 ORACLE = {
     "p3_daily_percentiles": _sql("day"),
+    "p3_daily_histograms": _ROWS + " SELECT measure, grp, day, CASE WHEN value = 0 THEN 0.0 ELSE floor(value / pow(2, length(bin(value)) - 1) * 512) / 512 * pow(2, length(bin(value)) - 1) END::DOUBLE AS at_least, count(*) AS n FROM c GROUP BY ALL",
     "p3_range_percentiles": _sql("week"),
     "p3_exact_percentiles": _ROWS
     + " SELECT measure, grp, count(*) AS n, "

@@ -82,12 +82,16 @@ def is_telling(comment: Column, name: Column, least: int = 2) -> Column:
     return ~dead & ~((F.size(outside) > 0) & (2 * code >= F.size(outside))) & (F.size(telling_words(explanation(full), name)) >= least)
 
 
+BLANKS = "\n\r\t "
+
+
 def pair_functions(functions: DataFrame, *, code: bool = True) -> DataFrame:
     """(id, name, code, comment, description) of every function with telling documentation of its own.
 
     ``functions`` has id, text, name, declaration (0-based line of the
     declaration in text). Tokens stay where their row is when it is already
-    partitioned by id; the windows then need no further shuffle.
+    partitioned by id; the windows then need no further shuffle. Without
+    ``code`` the function is delimited all the same, but not cut out.
     """
     rows = functions.select("id", "name", F.coalesce("declaration", F.lit(0)).alias("decl"), "text")
     # an excerpt can begin inside a template string, which then ends with a backtick at a line start above the declaration
@@ -95,48 +99,59 @@ def pair_functions(functions: DataFrame, *, code: bool = True) -> DataFrame:
     inside = (F.regexp_count(head, F.lit("`")) % 2 == 1) & head.rlike(r"^[^`]*(?<=^|\n)`")
     prefix = F.substring_index("text", "`", 1)
     rows = rows.select("id", "name", F.when(inside, F.col("decl") - F.regexp_count(prefix, F.lit("\n"))).otherwise(F.col("decl")).alias("decl"), F.when(inside, F.substring("text", F.length(prefix) + 2, F.length("text"))).otherwise(F.col("text")).alias("text"))
-    if code:
-        rows = rows.withColumn("source", F.col("text"))
+    # where the line of the declaration begins
+    begin = F.when(F.col("decl") > 0, F.length(F.expr("substring_index(text, char(10), decl)")) + 1).otherwise(0)
+    rows = rows.select("*", begin.alias("from"), *([F.col("text").alias("source")] if code else []))
     tokens = explode_tokens(rows, "text")
     if code:
         # the source rides along on the first token only
         tokens = tokens.withColumn("source", F.when(F.col("pos") == 0, F.col("source")))
     w = Window.partitionBy("id").orderBy("pos")
     before = w.rowsBetween(Window.unboundedPreceding, -1)
-    step = F.when(F.col("tok").isin("(", "[", "{"), 1).when(F.col("tok").isin(")", "]", "}"), -1).otherwise(0)
-    placed = tokens.withColumn("nl", newlines(F.col("tok"))).withColumn("line", F.coalesce(F.sum("nl").over(before), F.lit(0)))
-    if code:
-        placed = placed.withColumn("depth", F.coalesce(F.sum(step).over(before), F.lit(0))).withColumn("start", F.coalesce(F.sum(F.length("tok")).over(before), F.lit(0)))
-    # the first token stays even if blank, as the source rides on it, but stands on no line
-    blank = F.trim(F.translate("tok", "\n\r\t", "   ")) == ""
-    seen = placed.filter(~blank | (F.col("pos") == 0)).withColumn("last_line", F.when(blank, -1).otherwise(F.col("line") + F.col("nl")))
-    lag = lambda c: F.lag(c).over(w)
+    first = F.ascii("tok")
+    step = F.when(first.isin(*map(ord, "([{")) & (F.col("size") == 1), 1).when(first.isin(*map(ord, ")]}")), -1).otherwise(0)
+    # a bracket can bring a regular expression along; a run that begins with one holds its partner too
+    step = F.when(first.isin(*map(ord, "([{")) & F.col("tok").rlike(r"^[(\[{][ \t]*/"), 1).otherwise(step)
     comment = F.col("tok").startswith("//") | F.col("tok").startswith("/*")
-    seen = seen.withColumn("own", comment & (F.coalesce(lag("last_line"), F.lit(-1)) < F.col("line")))
-    run = F.col("own") & F.col("tok").startswith("//") & lag("own") & lag("tok").startswith("//") & (lag("last_line") == F.col("line") - 1)
-    seen = seen.withColumn("fresh", (~F.coalesce(run, F.lit(False))).cast("int"))
-    seen = seen.withColumn("island", F.sum("fresh").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    seen = seen.withColumn("opens", (F.col("line") >= F.col("decl")) & (F.coalesce(lag("line"), F.lit(-1)) < F.col("decl")))
-    opens = F.col("opens")
-    attached = opens & lag("own") & (lag("last_line") == F.col("decl") - 1)
-    seen = seen.withColumn("doc", F.when(attached, lag("island")))
+    left, right = F.ltrim("tok", F.lit(BLANKS)), F.rtrim("tok", F.lit(BLANKS))
+    tokens = tokens.select("*", F.length("tok").alias("size"), newlines(F.col("tok")).alias("nl"), comment.alias("comment"))
+    tokens = tokens.select("*", step.alias("step"), F.when(F.col("nl") > 0, newlines(left)).otherwise(0).alias("after"), F.when(F.col("nl") > 0, newlines(right)).otherwise(0).alias("upto"), (left == "").alias("blank"))
+    sums = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0))
+    placed = tokens.select("*", sums("nl").alias("at"), sums("step").alias("depth"), sums("size").alias("start"))
+    # lines of the first and the last character that is not blank; the first token stays even if blank, as the source rides on it, but stands on no line
+    line, last_line = F.col("at") + F.col("nl") - F.col("after"), F.when(F.col("blank"), -1).otherwise(F.col("at") + F.col("upto"))
+    seen = placed.filter(~F.col("blank") | (F.col("pos") == 0)).select("*", line.alias("line"), last_line.alias("last_line"))
+    lag = lambda c: F.lag(c).over(w)
+    seen = seen.select(
+        "*",
+        (F.col("comment") & (F.coalesce(lag("last_line"), F.lit(-1)) < F.col("line"))).alias("own"),
+        F.coalesce(lag("last_line"), F.lit(-1)).alias("over"),
+        ((F.col("line") >= F.col("decl")) & (F.coalesce(lag("line"), F.lit(-1)) < F.col("decl"))).alias("opens"),
+    )
+    run = F.col("own") & F.col("tok").startswith("//") & lag("own") & lag("tok").startswith("//") & (F.col("over") == F.col("line") - 1)
+    # the declaration may begin within a run of text, or with its first token
+    reaches = (F.col("last_line") >= F.col("decl")) & (F.col("over") < F.col("decl"))
+    seen = seen.select("*", (~F.coalesce(run, F.lit(False))).cast("int").alias("fresh"), (F.col("opens") & lag("own") & (F.col("over") == F.col("decl") - 1)).alias("attached"), reaches.alias("reaches"))
+    through = w.rowsBetween(Window.unboundedPreceding, 0)
+    seen = seen.select("*", F.sum("fresh").over(through).alias("island"), F.max(F.when(F.col("reaches"), F.col("depth"))).over(through).alias("base"))
+    closes = F.col("tok").startswith("}") & (F.col("depth") == F.col("base") + 1) & (F.col("line") >= F.col("decl"))
+    doc = F.when(F.col("attached"), F.col("island") - 1)
     aggs = [
-        F.max("doc").alias("doc"),
+        F.max("from").alias("from"),
+        F.min(F.when(closes, F.col("start") + 1)).alias("to"),
+        F.max(doc).alias("doc"),
         F.collect_list(F.when(F.col("own") & (F.col("last_line") < F.col("decl")), F.struct("island", "pos", "tok"))).alias("comments"),
     ]
     if code:
-        seen = seen.withColumn("base", F.max(F.when(opens, F.col("depth"))).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-        closes = (F.col("tok") == "}") & (F.col("depth") == F.col("base") + 1) & (F.col("line") >= F.col("decl"))
-        aggs += [
-            F.max("source").alias("source"),
-            F.min(F.when(opens, F.col("start"))).alias("from"),
-            F.min(F.when(closes, F.col("start") + 1)).alias("to"),
-        ]
+        aggs.append(F.max("source").alias("source"))
     found = seen.groupBy("id").agg(F.max("name").alias("name"), *aggs).filter("doc is not null")
+    # a function ends after it begins, or is cut off
+    found = found.filter(F.col("to").isNull() | (F.col("to") > F.col("from")))
     own = F.filter("comments", lambda x: x["island"] == F.col("doc"))
     text = F.array_join(F.transform(F.array_sort(own), lambda x: x["tok"]), "\n")
     found = found.withColumn("comment", text).filter(is_telling(F.col("comment"), F.col("name")))
     out = [F.col("id"), F.col("name"), F.col("comment"), explanation(F.filter(plain_lines(F.col("comment")), lambda x: x != "")).alias("description")]
     if code:
-        out.insert(2, F.when(F.col("to").isNull(), F.expr("substring(source, `from` + 1)")).otherwise(F.expr("substring(source, `from` + 1, `to` - `from`)")).alias("code"))
+        cut = F.when(F.col("to").isNull(), F.expr("substring(source, `from` + 1)")).otherwise(F.expr("substring(source, `from` + 1, `to` - `from`)"))
+        out.insert(2, F.ltrim(cut, F.lit(BLANKS)).alias("code"))
     return found.select(*out)

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: A slash starts a regular expression after an operator, an opening bracket, a keyword or at the start of a statement.
-BEFORE_REGEX = r"(?<=^|[=(,:;!&|?{}\[+\-*%~^<>\n]|\breturn|\btypeof|\bcase|\bin|\bof|\bvoid|\bdelete|\bthrow|\bnew|\belse|\bdo|\bawait|\byield)"
+#: A slash starts a regular expression after an operator, a line end, an opening bracket or one of these words.
+BEFORE_REGEX = r"(?<=\b(?:return|typeof|case|in|of|void|delete|throw|new|else|do|await|yield))"
 LINE_COMMENT = r"//[^\n]*+"
 BLOCK_COMMENT = r"/\*[\s\S]*?(?:\*/|\z)"
 SINGLE = r"'[^'\\\n]*+(?:\\[\s\S][^'\\\n]*+)*+'?"
@@ -14,8 +14,14 @@ DOUBLE = r'"[^"\\\n]*+(?:\\[\s\S][^"\\\n]*+)*+"?'
 TEMPLATE = r"`[^`\\]*+(?:\\[\s\S][^`\\]*+)*+`?"
 REGEX = r"/(?![*/])[^/\\\[\n]*+(?:(?:\\[^\n]|\[[^\]\\\n]*+(?:\\[^\n][^\]\\\n]*+)*+\])[^/\\\[\n]*+)*+/[a-zA-Z]*+"
 
-#: Coarse tokens: comments, literals, single brackets, line ends, and runs of anything else.
-COARSE = "|".join([LINE_COMMENT, BLOCK_COMMENT, SINGLE, DOUBLE, TEMPLATE, rf"{BEFORE_REGEX}[ \t]{{0,3}}+{REGEX}", r"\n", r"[(){}\[\]]", r"[^'\"`/\n(){}\[\]]++", r"[\s\S]"])
+_OPERATORS = r"=,:;!&|?+\-*%~^<>\n"
+#: Anything without brackets and comments; literals, and brackets with nothing but plain text between, are part of it.
+_PLAIN = "|".join([
+    rf"[^'\"`/(){{}}\[\] \t{_OPERATORS}]++", r"[ \t]++(?!/)", rf"[{_OPERATORS}](?:\s*+{REGEX})?+", rf"{BEFORE_REGEX}[ \t]*+{REGEX}", r"[ \t]++", SINGLE, DOUBLE, TEMPLATE,
+    r"\([^'\"`/(){}\[\]]*+\)", r"\[[^'\"`/(){}\[\]]*+\]", r"/(?![/*])",
+])
+#: Coarse tokens: comments, brackets (with the regular expression that may follow), and runs of anything else.
+COARSE = "|".join([LINE_COMMENT, BLOCK_COMMENT, rf"[(\[{{}}](?:[ \t]*+{REGEX})?+", r"[)\]]", rf"(?:{_PLAIN})++", r"[\s\S]"])
 
 
 def explode_tokens(rows: DataFrame, text: str, pattern: str = COARSE) -> DataFrame:
@@ -25,6 +31,5 @@ def explode_tokens(rows: DataFrame, text: str, pattern: str = COARSE) -> DataFra
 
 
 def newlines(tok: Column) -> Column:
-    """Line ends within a token; only comments and templates can hold more than one."""
-    one = (tok == "\n").cast("int")
-    return F.when(tok.startswith("/*") | tok.startswith("`"), F.length(tok) - F.length(F.replace(tok, F.lit("\n")))).otherwise(one)
+    """Line ends within a token."""
+    return F.when(tok.contains("\n"), F.length(tok) - F.length(F.replace(tok, F.lit("\n")))).otherwise(0)

@@ -71,3 +71,17 @@ def test_chunks_without_a_time_are_kept(spark, tmp_path):
     spark.read.parquet(f"{tmp_path}/timed/chunks.parquet").withColumn("file_mtime", F.lit(None).cast("double")).write.parquet(f"{tmp_path}/null/chunks.parquet")
     want = {r.chunk_id for r in p2_found(spark, f"{tmp_path}/timed").collect()}
     assert want and {r.chunk_id for r in p2_found(spark, f"{tmp_path}/null").collect()} == want
+
+
+def test_code_ends_with_the_function_whatever_stands_in_it(spark):
+    doc = "/** Splits the quoted part off the given line. */\n"
+    bodies = [
+        "function cut({ a = { b: 1 } }, c) {\n  const x = { d: [1, { e: 2 }] };\n  return x;\n}",
+        "function cut(a) {\n  return" + " " * 300 + "/[\"'{(]/.test(a) ? '}' : `}${{ a }.a}`;\n}",
+        "function cut(a) {\n  b = a.replace(/'/g, \"\\\"{\");\n  // } not here\n  /* nor } here */\n  return [/[/{]/, (a) => { return { a }; }];\n}",
+        "function cut(a) { return (b) => ({ a, b }); }",
+    ]
+    tail = "\n\nfunction other() {\n  return '}';\n}\n"
+    rows = [(f"f{i}", doc + b + tail, "cut", 1) for i, b in enumerate(bodies)] + [("cut off", doc + "function cut(a) {\n  return {", "cut", 1)]
+    got = {r.id: r.code for r in pair_functions(spark.createDataFrame(rows, "id string, text string, name string, declaration int")).collect()}
+    assert got == {f"f{i}": b for i, b in enumerate(bodies)} | {"cut off": "function cut(a) {\n  return {"}

@@ -27,10 +27,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from fernglass.session import materialize
 
 BANDS = 64
+#: Classes that share a band key and are paired in one join cell.
+CELL = 1024
 WORD = "[a-z0-9_]+"
 
 
@@ -97,20 +100,33 @@ def classes(records: DataFrame, words: int = 5, min_words: int = 0) -> tuple[Dat
     Equal sets combine before they are shuffled.
     """
     sets = records.select("id", shingle_set(F.col("text"), words, min_words).alias("runs")).filter("id is not null and runs is not null and size(runs) > 0")
-    sets = sets.select("id", set_id(F.col("runs")).alias("set"), "runs")
+    # read twice, and the dear part
+    sets = materialize(sets.select("id", set_id(F.col("runs")).alias("set"), "runs"))
     one = sets.groupBy("set").agg(F.first("runs").alias("runs"))
     known = materialize(one.select("set", F.monotonically_increasing_id().alias("class"), F.size("runs").alias("n"), "runs"))
     members = sets.groupBy("id").agg(F.min("set").alias("set")).join(known.select("set", "class"), "set").select("id", "class")
     return materialize(members), known.drop("set")
 
 
-def candidate_pairs(sets: DataFrame, threshold: float, bands: int = BANDS) -> DataFrame:
-    """Pairs (a, b; a < b) of classes that share a band key and whose sizes allow the threshold."""
+def candidate_pairs(sets: DataFrame, threshold: float, bands: int = BANDS, cell: int = CELL) -> DataFrame:
+    """Pairs (a, b; a < b) of classes that share a band key and whose sizes allow the threshold.
+
+    Keys of one class are dropped before anything is paired. The classes of a
+    key are numbered and cut into stretches of ``cell``; each stretch meets each
+    in a join cell of its own, so no task pairs more than ``cell`` squared at
+    once, however many classes share a key.
+    """
     keys = sets.select("class", "n", "runs").mapInArrow(_signatures(bands), "class bigint, n int, keys array<bigint>")
     keys = keys.select(F.explode("keys").alias("key"), "class", "n")
-    a, b = keys.toDF("key", "a", "na"), keys.toDF("key", "b", "nb")
+    own = Window.partitionBy("key")
+    stretch, most = F.floor((F.col("nth") - 1) / cell).cast("int"), F.floor((F.col("m") - 1) / cell).cast("int")
+    shared = keys.select("*", F.row_number().over(own.orderBy("class")).alias("nth"), F.count("*").over(own).alias("m")).filter("m > 1")
+    shared = materialize(shared.select("key", "class", "n", stretch.alias("i"), most.alias("most")))
+    # classes are numbered in order, so the lesser of a pair is in the same stretch or an earlier one
+    a = shared.select("key", F.col("class").alias("a"), F.col("n").alias("na"), F.col("i").alias("x"), F.explode(F.sequence("i", "most")).alias("y"))
+    b = shared.select("key", F.col("class").alias("b"), F.col("n").alias("nb"), F.explode(F.sequence(F.lit(0), F.col("i"))).alias("x"), F.col("i").alias("y"))
     fits = (F.least("na", "nb") >= threshold * F.greatest("na", "nb") - 1e-9) & (F.col("a") < F.col("b"))
-    return a.join(b, "key").filter(fits).select("a", "b").distinct()
+    return a.join(b, ["key", "x", "y"]).filter(fits).select("a", "b").distinct()
 
 
 def similar_classes(sets: DataFrame, threshold: float, bands: int = BANDS) -> DataFrame:

@@ -3,7 +3,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from fernglass.llm.near_duplicates import classes, components, similar_classes
+from fernglass.llm.near_duplicates import candidate_pairs, classes, components, similar_classes
 
 
 def brute(texts, words, least, threshold):
@@ -44,6 +44,15 @@ def test_pairs_match_brute_force(spark):
         assert got == brute(texts, words, least, threshold)
 
 
+def test_hot_bands_are_paired_in_cells(spark):
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(200)]
+    texts = [(f"h{k}", " ".join(w if i % 40 else rng.choice("abcdefgh") for i, w in enumerate(base))) for k in range(90)] + sample()
+    _, sets = classes(spark.createDataFrame(texts, "id string, text string"), 4, 30)
+    pairs = [{(r.a, r.b) for r in candidate_pairs(sets, 0.6, cell=cell).collect()} for cell in (3, 7, 1 << 20)]
+    assert pairs[0] == pairs[1] == pairs[2] and len(pairs[0]) > 3000
+
+
 def test_components_match_union_find(spark):
     rng = random.Random(1)
     links = [(rng.randrange(80), rng.randrange(80)) for _ in range(55)] + [(100 + i, 101 + i) for i in range(30)]

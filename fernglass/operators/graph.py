@@ -44,6 +44,10 @@ def direct_callers(edges: DataFrame, symbols: DataFrame) -> DataFrame:
     )
 
 
+#: Rounds of a closure whose tables are merged into one.
+MERGED = 16
+
+
 def closure(links: DataFrame, start: DataFrame, max_depth: int | None = None, hops: int = 4, by: tuple[str, ...] = ()) -> DataFrame:
     """(by, node, depth): everything that reaches ``start`` (by, node) against the direction of ``links`` (src, dst), start excluded unless on a cycle.
 
@@ -54,21 +58,24 @@ def closure(links: DataFrame, start: DataFrame, max_depth: int | None = None, ho
     # read in every round, so worth writing once
     links = materialize(links.select("src", "dst").distinct())
     frontier = materialize(start.select(*by, "node").distinct())
-    seen, depth = None, 0
+    levels, depth = [], 0
     while max_depth is None or depth < max_depth:
+        seen = reduce(lambda x, y: x.unionByName(y), levels).select(*by, "node") if levels else None
         steps, at = None, frontier
         for _ in range(hops if max_depth is None else min(hops, max_depth - depth)):
             depth += 1
             at = links.join(at, links.dst == at.node).select(*by, F.col("src").alias("node")).distinct()
-            at = at if seen is None else at.join(seen.select(*by, "node"), [*by, "node"], "left_anti")
+            at = at if seen is None else at.join(seen, [*by, "node"], "left_anti")
             level = at.withColumn("depth", F.lit(depth))
             steps = level if steps is None else steps.unionByName(level)
-        found = steps.groupBy(*by, "node").agg(F.min("depth").alias("depth"))
-        seen = materialize(found if seen is None else seen.unionByName(found))
-        frontier = seen.filter(F.col("depth") == depth).select(*by, "node")
+        # only what is new is written; every MERGED rounds the tables are made one, so plans stay short
+        levels.append(materialize(steps.groupBy(*by, "node").agg(F.min("depth").alias("depth"))))
+        frontier = levels[-1].filter(F.col("depth") == depth).select(*by, "node")
         if frontier.isEmpty():
             break
-    return seen if seen is not None else start.select(*by, "node", F.lit(0).alias("depth")).limit(0)
+        if len(levels) == MERGED:
+            levels = [materialize(reduce(lambda x, y: x.unionByName(y), levels))]
+    return reduce(lambda x, y: x.unionByName(y), levels) if levels else start.select(*by, "node", F.lit(0).alias("depth")).limit(0)
 
 
 def chain(links: DataFrame, hops: int = 5) -> DataFrame:
@@ -167,7 +174,9 @@ def resolve_types(wanted: DataFrame, symbols: DataFrame, imports: DataFrame) ->
     same = wanted.join(types, "type_name").filter("file_path = home").withColumn("priority", F.lit(1))
     named = imports.filter("resolved_path is not null").select("file_path", "resolved_path", F.explode("symbols").alias("type_name")).distinct()
     via = wanted.join(named, ["file_path", "type_name"]).join(types, "type_name").filter("resolved_path = home").drop("resolved_path").withColumn("priority", F.lit(2))
-    anywhere = wanted.join(types.filter("is_exported"), "type_name").withColumn("priority", F.lit(3))
+    # the first exported one per name is all that can be picked, so a common name stays one row
+    exported = first_by(types.filter("is_exported"), ["type_name"], F.col("home"), F.col("line"), F.col("symbol_id"))
+    anywhere = wanted.join(exported, "type_name").withColumn("priority", F.lit(3))
     rows = reduce(lambda a, b: a.unionByName(b), [same, via, anywhere])
     return first_by(rows, ["file_path", "type_name"], F.col("priority"), F.col("home"), F.col("line"), F.col("symbol_id")).select("file_path", "type_name", "priority", "symbol_id", "home")
 
@@ -211,7 +220,7 @@ def skeleton(symbols: DataFrame, directory: str, max_depth: int | None = None) -
     """Exports per file below a directory, in line order, methods left out."""
     rows = symbols.filter(F.col("is_exported") & F.col("file_path").startswith(directory) & (F.col("kind") != "method"))
     if max_depth is not None:
-        rest = F.ltrim(F.substring("file_path", len(directory) + 1, 100_000), F.lit("/"))
+        rest = F.ltrim(F.substring("file_path", F.lit(len(directory) + 1), F.length("file_path")), F.lit("/"))
         rows = rows.filter(F.size(F.split(rest, "/")) - 1 < max_depth)
     names = F.transform(F.array_sort(F.collect_list(F.struct("line", "ordinal", "name"))), lambda x: x["name"])
     return rows.groupBy("file_path").agg(F.array_join(names, ",").alias("exports"), F.count("*").alias("n_exports"))
@@ -219,10 +228,11 @@ def skeleton(symbols: DataFrame, directory: str, max_depth: int | None = None) -
 
 def page(rows: DataFrame, keys: list[str], cap: int, *order: Column) -> DataFrame:
     """The first ``cap`` rows per key with the honest total, given only when rows were left out."""
-    w = Window.partitionBy(*keys)
-    total = F.count("*").over(w)
-    out = rows.select("*", F.row_number().over(w.orderBy(*order)).alias("place"), total.alias("of"))
-    return out.filter(F.col("place") <= cap).withColumn("truncated_total", F.when(F.col("of") > cap, F.col("of"))).drop("of")
+    total = rows.groupBy(*keys).agg(F.count("*").alias("of"))
+    first = rows.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col("place") <= cap)
+    same = reduce(lambda x, y: x & y, [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys])
+    out = first.alias("l").join(total.alias("r"), same).select("l.*", "of")
+    return out.withColumn("truncated_total", F.when(F.col("of") > cap, F.col("of"))).drop("of")
 
 
 def rename_impact(edges: DataFrame, symbols: DataFrame, re_exports: DataFrame, name: str) -> DataFrame:

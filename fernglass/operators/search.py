@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from fernglass.functions.text import MIN_TERM, is_code_like, name_keys
+from fernglass.operators.chunks import latest
+from fernglass.session import materialize
 
 RRF_K = 60
 #: BM25 parameters and the floor of a term's weight: fixed values.
@@ -32,20 +34,24 @@ def name_terms(query: str) -> list[str]:
 
 
 def occurrences(content: Column, term: str) -> Column:
-    """Overlapping occurrences of a literal in lower-cased text."""
-    return F.regexp_count(content, F.lit(f"(?=\\Q{term}\\E)"))
+    """Overlapping occurrences of a literal in lower-cased text; most texts hold none, which a plain search tells."""
+    return F.when(content.contains(term), F.regexp_count(content, F.lit(f"(?=\\Q{term}\\E)"))).otherwise(0)
 
 
-def bm25(chunks: DataFrame, queries: Queries, *, scope: Column | None = None) -> DataFrame:
+def bm25(chunks: DataFrame, queries: Queries, *, scope: Column | None = None, at: str | None = None) -> DataFrame:
     """(query_id, chunk_id, score) of every chunk that contains a term; lower is better.
 
     Document counts and lengths come from the whole table, whatever the scope.
-    Two passes over chunk_id and content: one sums the statistics to a single
-    row, which the second pass reads.
+    With ``at``, rows are states of chunks and the one of the greatest ``at``
+    counts. The text is read once and never moves: each row is reduced to its
+    length and term counts, these are settled and written, and the statistics
+    (one row) and the scores come from them.
     """
     terms = sorted({t for _, q in queries for t in query_terms(q)})
-    low = chunks.select("chunk_id", *([scope.alias("in_scope")] if scope is not None else [F.lit(True).alias("in_scope")]), F.lower("content").alias("low"))
-    tf = low.select("chunk_id", "in_scope", F.greatest(F.length("low") - 2, F.lit(0)).alias("d"), F.array(*[occurrences(F.col("low"), t) for t in terms]).alias("tf"))
+    inside = F.lit(True) if scope is None else F.coalesce(scope, F.lit(False))
+    low = chunks.select("chunk_id", inside.alias("in_scope"), F.lower("content").alias("low"), *([] if at is None else [at]))
+    tf = low.select("chunk_id", "in_scope", F.greatest(F.length("low") - 2, F.lit(0)).alias("d"), F.array(*[occurrences(F.col("low"), t) for t in terms]).alias("tf"), *([] if at is None else [at]))
+    tf = materialize(tf if at is None else latest(tf, "chunk_id", at, ["in_scope", "d", "tf"]))
     stats = tf.agg(F.count("*").alias("n_all"), F.sum("d").alias("d_all"), F.array(*[F.count_if(F.col("tf")[i] > 0) for i in range(len(terms))]).alias("df"))
     # stats is one row
     rows = tf.filter("in_scope and exists(tf, f -> f > 0)").crossJoin(F.broadcast(stats))
@@ -135,9 +141,13 @@ def fused_search(
     scope: Column | None = None,
     post: Column | None = None,
     declaration_ranker: bool = True,
+    states: DataFrame | None = None,
 ) -> DataFrame:
-    """The whole search: (query_id, rank, chunk_id, rrf, hint)."""
-    lexical = top(bm25(chunks, queries, scope=scope), 8 * limit, F.asc("score"), F.asc("chunk_id"), rank="f_rank")
+    """The whole search: (query_id, rank, chunk_id, rrf, hint).
+
+    With ``states``, texts are ranked from these rows (the latest file_mtime counts), and ``chunks`` need not have them.
+    """
+    lexical = top(bm25(chunks if states is None else states, queries, scope=scope, at=None if states is None else "file_mtime"), 8 * limit, F.asc("score"), F.asc("chunk_id"), rank="f_rank")
     names = rank_declared(declared(spark, chunks, queries, scope=scope), 4 * limit if declaration_ranker else 0)
     cut = top(fuse(lexical, names), 4 * limit, *fused_order())
     found = cut.join(chunks.select("chunk_id", "chunk_type", "file_path", "symbol_name", "parent_symbol", "is_exported"), "chunk_id")

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from fernglass.functions.paths import glob_match, glob_to_regex
 from fernglass.functions.text import clip, contains_phrase, first_doc_comment, identifier_words, identifiers, phrase_tokens, trigram_similarity
@@ -21,13 +22,22 @@ def chunks(spark: SparkSession, sf: str) -> DataFrame:
     return latest(table(spark, sf, "chunks"), "chunk_id", "file_mtime", COLUMNS)
 
 
+def declarations(spark: SparkSession, sf: str) -> DataFrame:
+    """Chunks in force without their texts."""
+    return latest(table(spark, sf, "chunks"), "chunk_id", "file_mtime", [c for c in COLUMNS if c != "content"])
+
+
+def _lexical(spark: SparkSession, sf: str, scope: Column | None = None) -> DataFrame:
+    return S.bm25(table(spark, sf, "chunks"), ASKED, scope=scope, at="file_mtime")
+
+
 def search_bm25_topk(spark: SparkSession, sf: str) -> DataFrame:
-    got = S.top(S.bm25(chunks(spark, sf), ASKED), LIMIT, F.asc("score"), F.asc("chunk_id"))
+    got = S.top(_lexical(spark, sf), LIMIT, F.asc("score"), F.asc("chunk_id"))
     return got.select("query_id", "rank", "chunk_id", F.round("score", 6).alias("score"))
 
 
 def search_bm25_scoped(spark: SparkSession, sf: str) -> DataFrame:
-    got = S.top(S.bm25(chunks(spark, sf), ASKED, scope=glob_match(F.col("file_path"), SCOPE)), LIMIT, F.asc("score"), F.asc("chunk_id"))
+    got = S.top(_lexical(spark, sf, glob_match(F.col("file_path"), SCOPE)), LIMIT, F.asc("score"), F.asc("chunk_id"))
     return got.select("query_id", "rank", "chunk_id", F.round("score", 6).alias("score"))
 
 
@@ -57,14 +67,13 @@ def trigram_similarity_topk(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def declex_rank(spark: SparkSession, sf: str) -> DataFrame:
-    rows = S.rank_declared(S.declared(spark, chunks(spark, sf), ASKED), 4 * LIMIT)
+    rows = S.rank_declared(S.declared(spark, declarations(spark, sf), ASKED), 4 * LIMIT)
     return rows.select("query_id", "d_rank", "chunk_id", "match", "multiplicity")
 
 
 def _rankers(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    c = chunks(spark, sf)
-    lexical = S.top(S.bm25(c, ASKED), 8 * LIMIT, F.asc("score"), F.asc("chunk_id"), rank="f_rank")
-    return lexical, S.rank_declared(S.declared(spark, c, ASKED), 4 * LIMIT)
+    lexical = S.top(_lexical(spark, sf), 8 * LIMIT, F.asc("score"), F.asc("chunk_id"), rank="f_rank")
+    return lexical, S.rank_declared(S.declared(spark, declarations(spark, sf), ASKED), 4 * LIMIT)
 
 
 def rrf_fusion(spark: SparkSession, sf: str) -> DataFrame:
@@ -73,12 +82,12 @@ def rrf_fusion(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def fused_search(spark: SparkSession, sf: str) -> DataFrame:
-    got = S.fused_search(spark, chunks(spark, sf), ASKED, limit=LIMIT)
+    got = S.fused_search(spark, declarations(spark, sf), ASKED, states=table(spark, sf, "chunks"), limit=LIMIT)
     return got.select("query_id", "rank", "chunk_id", F.round("rrf", 12).alias("rrf"), "hint")
 
 
 def fused_search_exported(spark: SparkSession, sf: str) -> DataFrame:
-    got = S.fused_search(spark, chunks(spark, sf), ASKED, limit=LIMIT, scope=glob_match(F.col("file_path"), "**/*.ts"), post=F.col("is_exported"))
+    got = S.fused_search(spark, declarations(spark, sf), ASKED, states=table(spark, sf, "chunks"), limit=LIMIT, scope=glob_match(F.col("file_path"), "**/*.ts"), post=F.col("is_exported"))
     return got.select("query_id", "rank", "chunk_id")
 
 
@@ -97,8 +106,9 @@ def shell_method_dedup_all(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _dedup(spark: SparkSession, sf: str, limit: int) -> DataFrame:
-    rows = chunks(spark, sf).withColumn("query_id", F.substring_index("file_path", "/", 1))
-    rows = S.top(rows, 1_000_000_000, F.desc(F.length("content")), F.asc("chunk_id"))
+    states = table(spark, sf, "chunks").withColumn("size", F.length("content"))
+    rows = latest(states, "chunk_id", "file_mtime", [*(c for c in COLUMNS if c != "content"), "size"]).withColumn("query_id", F.substring_index("file_path", "/", 1))
+    rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("size"), F.asc("chunk_id"))))
     return S.drop_collisions(rows, limit).withColumnRenamed("query_id", "repo")
 
 

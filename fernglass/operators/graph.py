@@ -216,6 +216,36 @@ def resolve_calls(calls: DataFrame, symbols: DataFrame, imports: DataFrame, barr
     return rows.select("file_path", "to_name", target.alias("symbol_id"), F.col("resolution").alias("rule")).filter("symbol_id is not null")
 
 
+def link_edges(raw: DataFrame, symbols: DataFrame, imports: DataFrame, barrels: tuple[DataFrame, DataFrame, DataFrame] | None = None) -> DataFrame:
+    """(from_id, to_id, edge_type, resolution, call_line) of extracted edges (file_path, ordinal, from_name, to_name, edge_type, resolution, call_line).
+
+    The source is the last symbol of that name in the file. Calls go where
+    ``resolve_calls`` finds them. A base class or interface is the first
+    declaration of that bare name anywhere; a re-exported name is declared in the
+    file its module resolves to, or beyond it where ``barrels`` are given. Edges
+    without a source or a target are left out, repeated ones kept once.
+    """
+    last = first_by(symbols, ["name", "file_path"], F.desc("line"), F.desc("ordinal"), F.desc("symbol_id")).select(F.col("name").alias("from_name"), "file_path", F.col("symbol_id").alias("from_id"))
+    rows = raw.join(last, ["from_name", "file_path"])
+    calls = resolve_calls(raw.filter("edge_type = 'POTENTIAL_CALL'").select("file_path", "ordinal", "to_name", "resolution"), symbols, imports, barrels)
+    called = rows.filter("edge_type = 'POTENTIAL_CALL'").join(calls.select("file_path", "to_name", F.col("symbol_id").alias("to_id")), ["file_path", "to_name"])
+    decl = symbols.filter("kind <> 'export'")
+    anywhere = first_by(decl, ["name"], F.col("file_path"), F.col("line"), F.col("ordinal"), F.col("symbol_id")).select(F.col("name").alias("to_name"), F.col("symbol_id").alias("to_id"))
+    structural = rows.filter(F.col("edge_type").isin("EXTENDS", "IMPLEMENTS")).join(anywhere, "to_name")
+    here = first_by(decl, ["name", "file_path"], F.col("line"), F.col("ordinal"), F.col("symbol_id")).select(F.col("name").alias("to_name"), F.col("file_path").alias("resolved_path"), F.col("symbol_id").alias("here_id"))
+    sources = first_by(imports.filter("resolved_path is not null").select("file_path", "ordinal", "resolved_path", F.explode("symbols").alias("from_name")), ["file_path", "from_name"], F.col("ordinal")).drop("ordinal")
+    named = rows.filter("edge_type = 'RE_EXPORTS'").join(sources, ["file_path", "from_name"]).join(here, ["to_name", "resolved_path"], "left")
+    if barrels is None:
+        named = named.withColumn("to_id", F.col("here_id"))
+    else:
+        beyond = through_barrels(named.select(F.col("resolved_path").alias("path"), F.col("to_name").alias("name")), symbols, *barrels).select(F.col("path").alias("resolved_path"), F.col("name").alias("to_name"), F.col("symbol_id").alias("beyond_id"))
+        named = named.join(beyond, ["resolved_path", "to_name"], "left").withColumn("to_id", F.coalesce("here_id", "beyond_id"))
+    columns = ["from_id", "to_id", "edge_type", "resolution", "call_line", "ordinal"]
+    every = reduce(lambda a, b: a.unionByName(b), [x.select(*columns) for x in (called, structural, named)]).filter("to_id is not null")
+    kept = every.groupBy("from_id", "to_id", "edge_type").agg(F.min(F.struct("ordinal", "call_line", "resolution")).alias("s"))
+    return kept.select("from_id", "to_id", "edge_type", "s.resolution", "s.call_line")
+
+
 def skeleton(symbols: DataFrame, directory: str, max_depth: int | None = None) -> DataFrame:
     """Exports per file below a directory, in line order, methods left out."""
     rows = symbols.filter(F.col("is_exported") & F.col("file_path").startswith(directory) & (F.col("kind") != "method"))

@@ -9,12 +9,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fernglass.sources.scanner import CONTEXT_LINES, scan_calls, scan_markdown, scan_script
+from fernglass.sources.scanner import CONTEXT_LINES, scan_calls, scan_markdown, scan_script, scan_structure
 
 SCRIPTS, MARKDOWN = ("ts", "tsx", "mts", "js", "jsx", "mjs"), ("md",)
 CHUNKS = "chunk_id string, file_path string, start_line int, end_line int, content string, chunk_type string, symbol_name string, parent_symbol string, is_exported boolean, ordinal int"
 IMPORTS = "file_path string, ordinal int, module string, symbols array<string>, re_export boolean"
 CALLS = "file_path string, ordinal int, from_name string, to_name string, resolution string, call_line int"
+EDGES = "file_path string, ordinal int, from_name string, to_name string, edge_type string, resolution string, call_line int"
 
 
 def walk(spark: SparkSession, root: str) -> DataFrame:
@@ -60,6 +61,16 @@ def _calls_of(path: str, content: str) -> list[tuple]:
     return [(path, i, *c) for i, c in enumerate(scan_calls(content))] if _extension(path) in SCRIPTS else []
 
 
+def _edges_of(path: str, content: str) -> list[tuple]:
+    """Calls and structural edges of one file, from one scan."""
+    if _extension(path) not in SCRIPTS:
+        return []
+    s = scan_script(content)
+    calls = [(a, b, "POTENTIAL_CALL", rule, line) for a, b, rule, line in scan_calls(content, s)]
+    rows = calls + [(a, b, kind, None, line) for a, b, kind, line in scan_structure(content, s)]
+    return [(path, i, *r) for i, r in enumerate(rows)]
+
+
 def extract_chunks(files: DataFrame) -> DataFrame:
     """Declaration chunks of (path, content) rows. Null contents and unknown extensions give none."""
     return files.select("path", "content").mapInPandas(lambda b: _table(b, CHUNKS, _chunks_of), CHUNKS)
@@ -73,9 +84,14 @@ def extract_calls(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInPandas(lambda b: _table(b, CALLS, _calls_of), CALLS)
 
 
+def extract_edges(files: DataFrame) -> DataFrame:
+    """Calls, base classes, implemented interfaces and named re-exports by name, in the order of each file."""
+    return files.select("path", "content").mapInPandas(lambda b: _table(b, EDGES, _edges_of), EDGES)
+
+
 def resolve_imports(imports: DataFrame, paths: DataFrame) -> DataFrame:
     """Relative modules to files: candidates in order of preference joined to the known paths, not probed on disk."""
-    base = F.regexp_replace("file_path", r"/[^/]*$", "")
+    base = F.regexp_replace("file_path", r"/?[^/]*$", "")
     from fernglass.functions.paths import canonical_path
 
     joined = canonical_path(F.concat_ws("/", base, "module"))

@@ -19,6 +19,8 @@ _METHOD = re.compile(rf"^[ \t]+(?:(?:public|private|protected|static|override|ab
 _EXPORT_LIST = re.compile(r"^export\s*\{([^}]*)\}\s*;?[ \t]*$", re.M)
 _IMPORT = re.compile(rf"^import\s+(?:type\s+)?(?:(?P<default>{IDENT})\s*,?\s*)?(?:\*\s+as\s+(?P<star>{IDENT})\s*)?(?:\{{(?P<names>[^}}]*)\}}\s*)?(?:from\s*)?['\"](?P<module>[^'\"\n]+)['\"]", re.M)
 _REEXPORT = re.compile(r"^export\s*(?:type\s*)?(?:\*(?:\s*as\s+\w+)?|\{(?P<names>[^}]*)\})\s*from\s*['\"](?P<module>[^'\"\n]+)['\"]", re.M)
+_HERITAGE = re.compile(rf"\bextends\s+(?P<base>{IDENT}(?:\.{IDENT})*)|\bimplements\s+(?P<many>[^{{]+)")
+_FIELD = re.compile(rf"\b(?:(?:private|public|protected|readonly|static|declare|override)\s+)*(?P<name>{IDENT})[?!]?\s*:\s*(?:readonly\s+)?(?P<type>[A-Z][\w$]*)")
 _WORDS = frozenset("if for while switch catch return typeof function new await super import constructor".split())
 CONTEXT_LINES, SPLIT_LINES, SPLIT_OVERLAP, HEADING_DEPTH = 3, 100, 10, 2
 
@@ -161,26 +163,83 @@ def scan_markdown(text: str, depth: int = HEADING_DEPTH) -> list[tuple[int, int,
     return [x for x, bare in zip(out, titles, strict=True) if x[1] >= x[0] and not bare]
 
 
+def _types(text: str) -> dict[str, str]:
+    """Names and the capitalised types they are declared with."""
+    return {m["name"]: m["type"] for m in _FIELD.finditer(text)}
+
+
+def _heritage(code: str, d: Declaration) -> tuple[str | None, list[str]]:
+    """(base class, implemented interfaces) of a class, or of the first base of an interface."""
+    head = code[: max(0, d.body - d.first)]
+    # type parameters can hold ``extends`` too
+    while (plain := re.sub(r"<[^<>]*>", " ", head)) != head:
+        head = plain
+    base, many = None, []
+    for m in _HERITAGE.finditer(head):
+        if m["base"]:
+            base = base or m["base"]
+        else:
+            many += [x for x in (y.strip() for y in m["many"].split(",")) if re.fullmatch(rf"{IDENT}(?:\.{IDENT})*", x)]
+    return base, many
+
+
+def scan_structure(text: str, scan: Scan | None = None) -> list[tuple[str, str, str, int]]:
+    """(from name, to name, edge type, line): base classes, implemented interfaces, and names that are re-exported."""
+    s = scan or scan_script(text)
+    out = []
+    for d in s.declarations:
+        if d.kind in ("class_shell", "interface"):
+            base, many = _heritage(s.masked[d.first : d.last], d)
+            out += [(d.name, base, "EXTENDS", d.start)] * (base is not None) + [(d.name, x, "IMPLEMENTS", d.start) for x in many]
+    plain = text.lstrip("\ufeff").replace("\r\n", "\n")
+    for r in _REEXPORT.finditer(plain):
+        if r["names"] is not None and s.masked[r.start() : r.start() + 6] == "export":
+            at = plain.count("\n", 0, r.start()) + 1
+            for x in filter(None, (y.strip().removeprefix("type ").strip() for y in r["names"].split(","))):
+                old, _, new = x.partition(" as ")
+                out.append(((new or old).strip(), old.strip(), "RE_EXPORTS", at))
+    return out
+
+
 def scan_calls(text: str, scan: Scan | None = None) -> list[tuple[str, str, str, int]]:
-    """(caller, callee, evidence, line) of calls whose target's name can be told: imports before the same file, typed receivers, ``this``, ``new``."""
+    """(caller, callee, evidence, line) of calls whose target's name can be told.
+
+    A bare name is imported or of the same file; a receiver is ``this``, one of
+    its typed fields, ``super``, a typed parameter, or a local made with ``new``.
+    Other receivers give nothing.
+    """
     s = scan or scan_script(text)
     m = s.masked
     imported = {n for _, names in s.imports for n in names}
     own = {d.name for d in s.declarations}
+    classes = {d.name: d for d in s.declarations if d.kind == "class_shell"}
+    bases, fields = {}, {}
+    for name, d in classes.items():
+        bases[name] = _heritage(m[d.first : d.last], d)[0]
+        inner = [x for x in s.declarations if x.parent == name]
+        # fields stand between the methods, or are parameters of the constructor with a modifier
+        outside, at = "", d.body
+        for x in sorted(inner, key=lambda x: x.first):
+            outside += m[at : x.first] + "\n"
+            at = x.last
+        fields[name] = _types(outside + m[at : d.last])
+        for x in inner:
+            if x.name == f"{name}.constructor":
+                fields[name] |= {f["name"]: f["type"] for f in _FIELD.finditer(m[x.first : x.body]) if re.match(r"(?:private|public|protected|readonly)\b", f.group())}
     out = []
     for d in s.declarations:
         if d.kind not in ("function", "method"):
             continue
         code = m[d.first : d.last]
-        types = dict(re.findall(rf"\b({IDENT})\??\s*:\s*(?:readonly\s+)?([A-Z][\w$]*)", code[: max(0, d.body - d.first)]))
+        start = max(0, d.body - d.first)
+        types = _types(code[:start])
         made = dict(re.findall(rf"\b(?:const|let|var)\s+({IDENT})\s*=\s*new\s+([A-Z][\w$]*)", code))
-        for c in re.finditer(rf"(?P<new>\bnew\s+)?(?P<recv>\b(?:this\.)?(?:{IDENT}\.)*)?(?P<name>\b{IDENT})\s*\(", code[max(0, d.body - d.first) :]):
+        for c in re.finditer(rf"(?P<new>\bnew\s+)?(?P<recv>\b(?:{IDENT}\.)*)?(?P<name>\b{IDENT})\s*\(", code[start:]):
             name, recv = c["name"], (c["recv"] or "").rstrip(".")
-            if name in _WORDS:
-                continue
-            at = m.count("\n", 0, d.first + max(0, d.body - d.first) + c.start("name")) + 1
-            if c["new"]:
+            if name in _WORDS or c["new"] or code[start + c.start() - 1 : start + c.start()] == ".":
                 continue
+            at = m.count("\n", 0, d.first + start + c.start("name")) + 1
+            field = fields.get(d.parent, {}).get(recv.removeprefix("this.")) if recv.startswith("this.") else None
             if not recv:
                 if name in imported:
                     out.append((d.name, name, "import", at))
@@ -188,6 +247,10 @@ def scan_calls(text: str, scan: Scan | None = None) -> list[tuple[str, str, str,
                     out.append((d.name, name, "same_file", at))
             elif recv == "this" and d.parent:
                 out.append((d.name, f"{d.parent}.{name}", "this_method", at))
+            elif recv == "super" and bases.get(d.parent):
+                out.append((d.name, f"{bases[d.parent]}.{name}", "super_method", at))
+            elif field:
+                out.append((d.name, f"{field}.{name}", "field_type", at))
             elif recv in made:
                 out.append((d.name, f"{made[recv]}.{name}", "new_expression", at))
             elif recv in types:

@@ -48,3 +48,14 @@ def depth_below(path: Column, directory: str) -> Column:
     """Number of segments between ``directory`` and the file name."""
     below = F.substring(path, F.lit(len(directory) + 1), F.length(path)) if directory else path
     return F.size(F.split(F.ltrim(below, F.lit("/")) if directory else below, "/")) - 1
+
+
+def should_watch(path: Column, root: str, extensions: list[str], excludes: list[str] = (), state_dir: str = ".state") -> Column:
+    """Whether a changed path is worth indexing: below ``root``, not in the state folder, of a known extension, and not excluded by a glob."""
+    inside = path.startswith(root.rstrip("/") + "/")
+    below = F.substring(path, F.lit(len(root.rstrip("/")) + 2), F.length(path))
+    known = F.lower(F.substring_index(path, ".", -1)).isin(*extensions) & path.contains(".")
+    out = inside & known & ~below.startswith(state_dir + "/")
+    for glob in excludes:
+        out = out & ~glob_match(below, glob)
+    return F.coalesce(out, F.lit(False))

@@ -25,6 +25,11 @@ def freshness(disk: DataFrame, manifest: DataFrame, files: DataFrame) -> DataFra
     )
 
 
+def never_written(walked: DataFrame, queued: DataFrame, stored: DataFrame) -> DataFrame:
+    """Paths found by the walk that are neither queued for indexing nor stored."""
+    return walked.select("path").distinct().join(queued.select("path"), "path", "left_anti").join(stored.select("path"), "path", "left_anti")
+
+
 def content_signature(rows: DataFrame, by: str, parts: list[str]) -> DataFrame:
     """(by, n, signature): an order-independent signature over whole rows of a file, from per-row hashes that add up.
 

@@ -23,6 +23,26 @@ def day_of(seconds: Column) -> Column:
     return F.to_date(F.timestamp_seconds(seconds))
 
 
+#: Seconds of each unit of a span.
+UNITS = {"s": 1, "m": 60, "h": 3600, "d": 86400, "w": 604800}
+
+
+def parse_since(text: Column, now: Column) -> Column:
+    """Unix seconds of a point in time: a span before ``now`` (``7d``, ``12h``), or an ISO date or time; null if it is neither."""
+    number, unit = F.regexp_extract(text, r"^\s*(\d+)\s*([smhdw])\s*$", 1), F.regexp_extract(text, r"^\s*(\d+)\s*([smhdw])\s*$", 2)
+    size = F.create_map(*[F.lit(x) for kv in UNITS.items() for x in kv])
+    return F.when(number != "", now - number.cast("double") * size[unit]).otherwise(F.unix_micros(F.try_to_timestamp(F.trim(text))) / 1e6)
+
+
+def format_age(seconds: Column) -> Column:
+    """The largest whole unit of an age: ``3d``, ``5h``, ``12m`` or ``40s``; negative ages are ``0s``."""
+    a = F.greatest(F.floor(seconds), F.lit(0))
+    out = F.concat(a.cast("string"), F.lit("s"))
+    for unit in ("m", "h", "d"):
+        out = F.when(a >= UNITS[unit], F.concat(F.floor(a / UNITS[unit]).cast("string"), F.lit(unit))).otherwise(out)
+    return out
+
+
 def efficiency(returned: Column, bound: Column) -> Column:
     """1 - returned / bound; negative when more was returned; 0 without a bound."""
     return F.when(bound > 0, 1.0 - returned / bound).otherwise(0.0)

@@ -112,11 +112,24 @@ def _dedup(spark: SparkSession, sf: str, limit: int) -> DataFrame:
     return S.drop_collisions(rows, limit).withColumnRenamed("query_id", "repo")
 
 
+MISSED = "splitFreshNodes"
+
+
 def zero_result_assist(spark: SparkSession, sf: str) -> DataFrame:
-    c = chunks(spark, sf).filter("symbol_name is not null")
-    like = S.top(c.filter("chunk_type <> 'method'").withColumn("query_id", F.lit(1)).withColumn("score", trigram_similarity(F.lit("splitFreshNodes"), F.col("symbol_name"))).filter("score >= 0.3"), 5, F.desc("score"), F.asc("file_path"), F.asc("start_line"), F.asc("symbol_name"), rank="pos")
-    near = S.top(c.withColumn("query_id", F.lit(1)).filter(F.arrays_overlap(phrase_tokens(F.col("content")), F.array(F.lit("splitfreshnode"), F.lit("fresh")))), 20, F.asc("chunk_id"), rank="pos")
-    return S.suggestions([like, near], 5)
+    """What to offer for a query without results, within the scope: similar names, chunks of the query's words, near misses."""
+    states = table(spark, sf, "chunks")
+    inside = glob_match(F.col("file_path"), "**/packages/**")
+    c = declarations(spark, sf).filter(F.col("symbol_name").isNotNull() & inside).withColumn("query_id", F.lit(1))
+    like = S.top(c.filter("chunk_type <> 'method'").withColumn("score", trigram_similarity(F.lit(MISSED), F.col("symbol_name"))).filter("score >= 0.3"), 5, F.desc("score"), F.asc("file_path"), F.asc("start_line"), F.asc("symbol_name"), F.asc("chunk_id"), rank="pos")
+    split = S.top(S.bm25(states, [(1, " ".join(ASSIST_WORDS))], scope=inside, at="file_mtime"), 5, F.asc("score"), F.asc("chunk_id"), rank="pos").join(c.drop("query_id"), "chunk_id")
+    flags = F.arrays_overlap(phrase_tokens(F.col("content")), F.array(F.lit(MISSED.lower()[:-1]), F.lit("fresh")))
+    hit = latest(states.withColumn("hit", flags), "chunk_id", "file_mtime", ["hit"]).filter("hit").select("chunk_id")
+    near = S.top(c.join(hit, "chunk_id"), 20, F.asc("chunk_id"), rank="pos")
+    return S.suggestions([like, split, near], 12)
+
+
+#: The words of MISSED, as identifier_words splits it.
+ASSIST_WORDS = ("split", "fresh", "nodes")
 
 
 def doc_excerpt_extract(spark: SparkSession, sf: str) -> DataFrame:

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from fernglass.operators import ingest as I
+from fernglass.functions.paths import canonical_path
+from fernglass.plans.graph_orphans import _sql_path
 from fernglass.session import table
 
 BEFORE = "2025-04-15"
@@ -59,6 +61,12 @@ def removed_cascade(spark: SparkSession, sf: str) -> DataFrame:
     return imports.agg(F.count("*").alias("n_rows")).select(F.lit("imports").alias("table_name"), "n_rows").unionByName(edges.agg(F.count("*").alias("n_rows")).select(F.lit("edges").alias("table_name"), "n_rows"))
 
 
+def never_written_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Paths that imports resolve to and no file row or chunk has ever held."""
+    walked = table(spark, sf, "imports").filter("resolved_path is not null").select(canonical_path(F.col("resolved_path")).alias("path"))
+    return I.never_written(walked, table(spark, sf, "chunks").select(F.col("file_path").alias("path")).distinct(), table(spark, sf, "files").select("path").distinct())
+
+
 def index_status(spark: SparkSession, sf: str) -> DataFrame:
     """Per repository: files there, chunks in force by kind, exported symbols."""
     repo = lambda c: F.substring_index(c, "/", 1).alias("repo")
@@ -100,7 +108,7 @@ _A, _N, _F = _L.format(d=BEFORE), _L.format(d="2030-01-01"), _L.format(d="2025-0
 
 QUERIES = {
     f.__name__: f
-    for f in (manifest_diff, freshness_three_way, unchanged_hash_skip, monotonic_merge, replace_by_file, removed_cascade, index_status, miscased_imports, chunk_dup_ids, chunk_subwindows, section_lead)
+    for f in (manifest_diff, freshness_three_way, unchanged_hash_skip, monotonic_merge, replace_by_file, removed_cascade, never_written_files, index_status, miscased_imports, chunk_dup_ids, chunk_subwindows, section_lead)
 }
 ORACLE = {
     "manifest_diff": f"SELECT * FROM (SELECT path, CASE WHEN a.mtime IS NULL THEN 'added' WHEN n.mtime IS NULL THEN 'deleted' WHEN n.mtime > a.mtime THEN 'stale' END AS state FROM ({_A}) a FULL JOIN ({_N}) n USING (path)) WHERE state IS NOT NULL",
@@ -115,6 +123,7 @@ ORACLE = {
   UNION ALL SELECT 'edges', count(*) FROM (SELECT DISTINCT edge_id, from_id, to_id FROM edges) WHERE from_id NOT IN (SELECT symbol_id FROM d) AND (to_id IS NULL OR to_id NOT IN (SELECT symbol_id FROM d))""",
     "index_status": """SELECT repo, coalesce(n_files, 0) AS n_files, coalesce(n_chunks, 0) AS n_chunks, coalesce(n_symbols, 0) AS n_symbols, coalesce(n_exported, 0) AS n_exported FROM (SELECT split_part(path, '/', 1) AS repo, count(DISTINCT path) AS n_files FROM files WHERE deleted_at IS NULL GROUP BY 1)
   FULL JOIN (SELECT split_part(file_path, '/', 1) AS repo, count(DISTINCT chunk_id) AS n_chunks FROM chunks GROUP BY 1) USING (repo) FULL JOIN (SELECT split_part(file_path, '/', 1) AS repo, count(DISTINCT symbol_id) AS n_symbols, count(DISTINCT symbol_id) FILTER (WHERE is_exported) AS n_exported FROM symbols WHERE deleted_at IS NULL GROUP BY 1) USING (repo)""",
+    "never_written_files": f"SELECT DISTINCT {_sql_path('resolved_path')} AS path FROM imports WHERE resolved_path IS NOT NULL AND {_sql_path('resolved_path')} NOT IN (SELECT file_path FROM chunks) AND {_sql_path('resolved_path')} NOT IN (SELECT path FROM files)",
     "miscased_imports": "SELECT i.resolved_path, f.path FROM (SELECT DISTINCT resolved_path FROM imports WHERE resolved_path NOT IN (SELECT path FROM files)) i JOIN (SELECT DISTINCT path FROM files) f ON lower(i.resolved_path) = lower(f.path)",
     "chunk_dup_ids": "SELECT chunk_id, file_mtime, CAST(row_number() OVER (PARTITION BY chunk_id ORDER BY file_mtime) - 1 AS INT) AS dup FROM (SELECT DISTINCT chunk_id, file_mtime FROM chunks)",
     "chunk_subwindows": "WITH f AS (SELECT file_id, length(content) - length(replace(content, chr(10), '')) + 1 AS n FROM files WHERE content IS NOT NULL), s AS (SELECT file_id, n, unnest(CASE WHEN n <= 100 THEN [1] ELSE range(1, n - 9, 90) END) AS start FROM f) SELECT file_id, CAST((start - 1) // 90 AS INT) AS idx, CAST(start AS INT) AS start, CAST(least(start + 99, n) AS INT) AS \"end\" FROM s",

@@ -2,6 +2,9 @@ import random
 
 from pyspark.sql import functions as F
 
+from fernglass.functions import paths as P
+from fernglass.operators import telemetry as T
+from fernglass.sources import records as R
 from fernglass.operators import evalstats as E
 from fernglass.operators import ingest as I
 from fernglass.operators import telemetry as T
@@ -101,3 +104,27 @@ def test_distributions_and_fits(spark):
     assert got["line"] > 0.01 and got["curve"] < 1e-6
     q = spark.createDataFrame([("src/a.ts src/b.ts",), ("src/a.ts reads",), ("",)], "q string")
     assert sorted(r.q for r in E.self_referential(q, "q", ["src/"]).collect()) == ["", "src/a.ts reads"]
+
+
+def test_json_lines_count_what_they_cannot_read(spark, tmp_path):
+    lines = ['{"kind":"acquired","type":"write","caller":"a","waitMs":5,"timestamp":1}', '{"kind":"released","type":"write","caller":"a","holdMs":80,"timestamp":2}', '{"kind":"failed","type":"write","waitMs":1,"timestamp":3}', "", "not json", '{"kind":"acquired","type":"w","timestamp":4}', '{"kind":"other","type":"w","timestamp":4}', '{"kind":"released","holdMs":80,"timestamp":2}', '{"kind":"acquired","type":"w","waitMs":"long","timestamp":4}']
+    (tmp_path / "l.jsonl").write_text("\n".join(lines) + "\n")
+    good, bad = R.read_lock_events(spark, str(tmp_path / "l.jsonl"))
+    assert sorted(r.kind for r in good.collect()) == ["acquired", "failed", "released"]
+    assert {r.reason: r.n_lines for r in bad.collect()} == {"not of the schema": 2, "missing field": 2, "unknown kind": 1}
+    (tmp_path / "g.json").write_text('{"queries": [\n{"id": "q1", "query": "a", "relevant": [{"file_path": "x.ts", "symbol": "f", "line": 3}, {"file_path": "y.ts"}]},\n{"id": "q2", "query": "b", "relevant": []}]}')
+    got = sorted((r.query_id, r.file_path or "", r.line) for r in R.read_gold(spark, str(tmp_path / "g.json")).collect())
+    assert got == [("q1", "x.ts", 3), ("q1", "y.ts", None), ("q2", "", None)]
+    for _ in range(2):
+        R.append(good, str(tmp_path / "log"))
+    assert spark.read.parquet(str(tmp_path / "log")).count() == 6
+
+
+def test_watched_paths_spans_and_ages(spark):
+    paths = ["/r/a.ts", "/r/.state/a.ts", "/r/node_modules/x/a.ts", "/r/a.txt", "/q/a.ts", "/r/noext", "/r/A.TS", None]
+    got = spark.createDataFrame([(p,) for p in paths], "p string").select(P.should_watch(F.col("p"), "/r", ["ts", "md"], ["**/node_modules/**"]).alias("x")).collect()
+    assert [r.x for r in got] == [True, False, False, False, False, False, True, False]
+    one = lambda e: spark.range(1).select(e.alias("x")).first().x
+    now = F.lit(1_000_000.0)
+    assert [one(T.parse_since(F.lit(t), now)) for t in ("7d", "12h", " 30 m", "1970-01-02", "soon")] == [395_200.0, 956_800.0, 998_200.0, 86_400.0, None]
+    assert [one(T.format_age(F.lit(float(s)))) for s in (-3, 40, 61, 7300, 200_000)] == ["0s", "40s", "1m", "2h", "2d"]

@@ -146,14 +146,26 @@ def honest_page_cap(spark: SparkSession, sf: str) -> DataFrame:
     return G.page(rows, ["target_id"], 5, F.col("file_path"), F.col("line"), F.col("caller_id")).select("target_id", "place", "caller_id", "truncated_total")
 
 
+def named_symbols(spark: SparkSession, sf: str) -> DataFrame:
+    """(symbol_id, name, bare, file_path) of every declaration; bare is the last part of the name."""
+    return symbols(spark, sf).filter("kind <> 'export'").select("symbol_id", "name", F.substring_index("name", ".", -1).alias("bare"), "file_path")
+
+
 def potential_matches_anti(spark: SparkSession, sf: str) -> DataFrame:
-    """Chunks that mention a called symbol's bare name but hold no verified call of it: semi, anti and count."""
-    s = symbols(spark, sf).filter("kind = 'function'").select("symbol_id", "name")
+    """Chunks that mention a symbol's bare name in files without a verified call of it, counted by symbol.
+
+    Mentions are counted by name and file before symbols come in, so a name
+    that many symbols share is never paired with each of its mentions.
+    """
+    s = named_symbols(spark, sf)
     c = latest(table(spark, sf, "chunks"), "chunk_id", "file_mtime", ["chunk_id", "file_path", "start_line", "content", "chunk_type"]).filter("chunk_type <> 'class_shell'")
-    words = c.select("chunk_id", "file_path", F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit(r"\b[A-Za-z_$][A-Za-z0-9_$]*\b"), F.lit(0)))).alias("name"))
-    hits = words.join(s, "name")
+    words = c.select("file_path", F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit(r"\b[A-Za-z_$][A-Za-z0-9_$]*\b"), F.lit(0)))).alias("bare"))
+    mentions = words.groupBy("bare", "file_path").agg(F.count("*").alias("n"))
     verified = G.direct_callers(edges(spark, sf), symbols(spark, sf)).select(F.col("target_id").alias("symbol_id"), "file_path").distinct()
-    return hits.join(verified, ["symbol_id", "file_path"], "left_anti").groupBy("symbol_id", "name").agg(F.count("*").alias("n_chunks"))
+    known = verified.join(s.select("symbol_id", "bare"), "symbol_id").join(mentions, ["bare", "file_path"]).groupBy("symbol_id").agg(F.sum("n").alias("known"))
+    total = mentions.groupBy("bare").agg(F.sum("n").alias("total"))
+    left = F.col("total") - F.coalesce("known", F.lit(0))
+    return s.join(total, "bare").join(known, "symbol_id", "left").select("symbol_id", "name", left.alias("n_chunks")).filter("n_chunks > 0")
 
 
 def rename_impact(spark: SparkSession, sf: str) -> DataFrame:
@@ -164,8 +176,8 @@ def rename_impact(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def call_site_verdicts(spark: SparkSession, sf: str) -> DataFrame:
-    """Syntactic verdict of every mention of a called function outside its own file, by symbol."""
-    s = symbols(spark, sf).filter("kind = 'function'").select("symbol_id", "name", F.col("file_path").alias("home"))
+    """Syntactic verdict of every mention of a declared name outside its own file, by symbol."""
+    s = named_symbols(spark, sf).select("symbol_id", "name", F.col("file_path").alias("home"))
     files = table(spark, sf, "files").filter("deleted_at is null and content is not null and not path like '%.md'").select("path", "content", "mtime")
     found = C.mentions(files, s).join(s.select("symbol_id", "home"), "symbol_id").filter("file_path <> home")
     return C.fresh(C.classify(found), files).groupBy("symbol_id", "verdict").agg(F.count("*").alias("n_sites"))
@@ -173,7 +185,7 @@ def call_site_verdicts(spark: SparkSession, sf: str) -> DataFrame:
 
 def checker_buckets(spark: SparkSession, sf: str) -> DataFrame:
     """Possible call sites by the package that owns their file."""
-    s = symbols(spark, sf).filter("kind = 'function'").select("symbol_id", "name")
+    s = named_symbols(spark, sf).select("symbol_id", "name")
     files = table(spark, sf, "files").filter("deleted_at is null and content is not null").select("path", "content", "mtime")
     projects = files.filter("not path like '%.md'").select(F.col("path").alias("file_path"), F.substring_index("path", "/", 1).alias("project"))
     return C.bucket_projects(C.mentions(files, s), projects)
@@ -238,7 +250,7 @@ ORACLE = {
     "checker_buckets": _W
     + """, l AS (SELECT path, unnest(string_split(content, chr(10))) AS t, generate_subscripts(string_split(content, chr(10)), 1) AS i FROM files WHERE deleted_at IS NULL AND content IS NOT NULL),
   w AS (SELECT DISTINCT path, i, unnest(regexp_extract_all(t, '\\b[A-Za-z_$][\\w$]*\\b')) AS bare FROM l)
-  SELECT CASE WHEN path LIKE '%.md' THEN NULL ELSE split_part(path, '/', 1) END AS project, count(*) AS n_candidates FROM w JOIN sy ON bare = split_part(sy.name, '.', -1) AND kind = 'function' GROUP BY 1""",
+  SELECT CASE WHEN path LIKE '%.md' THEN NULL ELSE split_part(path, '/', 1) END AS project, count(*) AS n_candidates FROM w JOIN sy ON bare = split_part(sy.name, '.', -1) AND kind <> 'export' GROUP BY 1""",
     "project_skeleton": _W
     + """ SELECT file_path, string_agg(name, ',' ORDER BY line, ordinal, name) AS exports, count(*) AS n_exports FROM sy WHERE is_exported AND kind <> 'method' AND starts_with(file_path, 'harborline/packages')
   AND length(ltrim(substr(file_path, 20), '/')) - length(replace(ltrim(substr(file_path, 20), '/'), '/', '')) < 4 GROUP BY file_path""",
@@ -249,5 +261,5 @@ ORACLE = {
     + " SELECT target_id, CAST(p AS INT) AS place, caller_id, CASE WHEN n > 5 THEN n END AS truncated_total FROM (SELECT *, row_number() OVER (PARTITION BY target_id ORDER BY file_path, line, caller_id) AS p, count(*) OVER (PARTITION BY target_id) AS n FROM dc) WHERE p <= 5",
     "potential_matches_anti": _W
     + f""", {_LATEST}, w AS (SELECT DISTINCT chunk_id, c.file_path AS file_path, unnest(regexp_extract_all(c.content, '\\b[A-Za-z_$][A-Za-z0-9_$]*\\b')) AS name FROM ch WHERE c.chunk_type <> 'class_shell'),
-  h AS (SELECT chunk_id, w.file_path, symbol_id, w.name FROM w JOIN sy ON w.name = sy.name WHERE kind = 'function') SELECT symbol_id, name, count(*) AS n_chunks FROM h ANTI JOIN (SELECT DISTINCT target_id AS symbol_id, file_path FROM dc) v USING (symbol_id, file_path) GROUP BY 1, 2""",
+  h AS (SELECT chunk_id, w.file_path, symbol_id, sy.name FROM w JOIN sy ON w.name = split_part(sy.name, '.', -1) WHERE kind <> 'export') SELECT symbol_id, name, count(*) AS n_chunks FROM h ANTI JOIN (SELECT DISTINCT target_id AS symbol_id, file_path FROM dc) v USING (symbol_id, file_path) GROUP BY 1, 2""",
 }

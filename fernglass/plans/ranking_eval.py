@@ -108,6 +108,10 @@ def lack_of_fit(spark: SparkSession, sf: str) -> DataFrame:
 _DM = f"WITH {_M}, dm AS (SELECT tool_name, {_DAY} AS day, quantile_disc(duration_ms, 0.5) AS v FROM m WHERE duration_ms >= 0 GROUP BY 1, 2)"
 QUERIES = {f.__name__: f for f in (ndcg_at_10, rrf_k_sweep, ols_slope, paired_stats, walsh_median, sign_test, fire_rate, lack_of_fit, signed_rank_and_bootstrap, seeded_sample, index_invariant)}
 ORACLE = {
+    # each tool's daily medians against the fixed 40: wins, losses and the two-sided binomial tail
+    "sign_test": f"""WITH {_M}, d AS (SELECT tool_name, {_DAY} AS day, quantile_disc(duration_ms, 0.5) AS v FROM m WHERE duration_ms >= 0 GROUP BY 1, 2),
+  c AS (SELECT tool_name, count(*) FILTER (WHERE v > 40) AS wins, count(*) FILTER (WHERE v < 40) AS losses FROM d GROUP BY 1)
+  SELECT tool_name, wins, losses, round(CASE WHEN wins + losses = 0 THEN 1 ELSE least(1, 2 * list_sum(list_transform(range(0, least(wins, losses) + 1), lambda i: exp(lgamma(wins + losses + 1) - lgamma(i + 1) - lgamma(wins + losses - i + 1) - (wins + losses) * ln(2))))) END, 9) AS p FROM c""",
     "ndcg_at_10": """WITH k AS (SELECT chunk_id, arg_max(struct_pack(p := file_path, l := start_line, n := symbol_name, t := chunk_type, c := length(content)), file_mtime) AS s FROM chunks GROUP BY 1),
   r AS (SELECT s.p AS q, s.n AS symbol, s.l AS l, row_number() OVER (PARTITION BY s.p ORDER BY s.c DESC, chunk_id) AS rank FROM k WHERE s.t IN ('function', 'method')),
   t AS (SELECT DISTINCT symbol_id, name, file_path AS q, line FROM symbols WHERE deleted_at IS NULL AND is_exported AND kind IN ('function', 'method')),

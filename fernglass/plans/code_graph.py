@@ -247,6 +247,12 @@ ORACLE = {
   WHERE CASE WHEN resolution IN ('same_file', 'this_method') THEN d_id WHEN resolution = 'import' THEN v_id WHEN resolution = 'super_method' THEN CASE WHEN i_name IS NOT NULL THEN v_id ELSE d_id END
     WHEN resolution IN ('field_type', 'parameter_type', 'new_expression') THEN coalesce(CASE WHEN i_name IS NOT NULL THEN v_id ELSE d_id END, g_id) ELSE g_id END IS NOT NULL""",
     "edge_insert_ignore": _W + " SELECT * FROM ed",
+    "rename_impact": _R
+    + """, top AS (SELECT dst FROM ca GROUP BY dst ORDER BY count(*) DESC, dst LIMIT 3), f AS (SELECT * FROM sy WHERE name = (SELECT min(name) FROM sy WHERE symbol_id IN (SELECT dst FROM top))),
+  rx AS (SELECT DISTINCT from_path AS src, to_path AS dst FROM re_export_files WHERE from_path IS NOT NULL AND to_path IS NOT NULL),
+  up(node, depth) AS (SELECT src, 1 FROM rx WHERE dst IN (SELECT file_path FROM f) UNION SELECT rx.src, depth + 1 FROM up JOIN rx ON rx.dst = up.node WHERE depth < 40)
+  SELECT 'declaration' AS part, file_path, line, name AS detail FROM f UNION ALL SELECT 'caller', file_path, line, caller FROM dc WHERE target_id IN (SELECT symbol_id FROM f)
+  UNION ALL SELECT 'barrel', node, NULL, 'depth ' || min(depth) FROM up GROUP BY node""",
     "checker_buckets": _W
     + """, l AS (SELECT path, unnest(string_split(content, chr(10))) AS t, generate_subscripts(string_split(content, chr(10)), 1) AS i FROM files WHERE deleted_at IS NULL AND content IS NOT NULL),
   w AS (SELECT DISTINCT path, i, unnest(regexp_extract_all(t, '\\b[A-Za-z_$][\\w$]*\\b')) AS bare FROM l)

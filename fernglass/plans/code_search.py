@@ -177,10 +177,10 @@ scored AS (SELECT query_id, chunk_id, -sum(CASE WHEN ln((n_all - n + 0.5) / (n +
   FROM t JOIN f USING (term) JOIN df USING (term), st {scope} GROUP BY query_id, chunk_id)"""
 
 
-def _declared_sql() -> str:
+def _declared_sql(scope: str = "") -> str:
     terms = ", ".join(f"({qid}, '{t.lower()}')" for qid, q in ASKED for t in S.name_terms(q))
-    return f"""dt(query_id, key) AS (VALUES {terms}), nk AS (SELECT chunk_id, lower(symbol_name) AS key, 'full' AS kind FROM k WHERE symbol_name IS NOT NULL
-  UNION ALL SELECT chunk_id, split_part(lower(symbol_name), '.', -1), 'segment' FROM k WHERE symbol_name LIKE '%.%'),
+    return f"""dt(query_id, key) AS (VALUES {terms}), nk AS (SELECT chunk_id, lower(symbol_name) AS key, 'full' AS kind FROM k WHERE symbol_name IS NOT NULL {scope}
+  UNION ALL SELECT chunk_id, split_part(lower(symbol_name), '.', -1), 'segment' FROM k WHERE symbol_name LIKE '%.%' {scope}),
 db AS (SELECT query_id, chunk_id, min(kind) AS match, arg_min(key, kind || key) AS key FROM nk JOIN dt USING (key) GROUP BY query_id, chunk_id),
 dm AS (SELECT *, count(*) OVER (PARTITION BY query_id, key) AS multiplicity FROM db),
 dr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY match, multiplicity, chunk_id) AS d_rank FROM dm), dd AS (SELECT * FROM dr WHERE d_rank <= {4 * LIMIT})"""
@@ -197,6 +197,9 @@ ke AS (SELECT *, row_number() OVER (PARTITION BY query_id, ck ORDER BY rank) AS
 done AS (SELECT ke.query_id, ke.chunk_id, CAST(nr AS BIGINT) AS rank, CASE WHEN nth = 1 AND ke.ck IS NOT NULL THEN gone END AS hint FROM ke LEFT JOIN go ON ke.query_id = go.query_id AND ke.ck = go.ck)"""
 
 
+_TS = glob_to_regex("**/*.ts")
+
+
 def _tri(c: str) -> str:
     return f"list_distinct(list_transform(range(1, length({c}) - 1), lambda i: substr(lower({c}), i, 3)))"
 
@@ -224,6 +227,8 @@ ORACLE = {
     "declex_rank": f"WITH {_CHUNKS}, {_declared_sql()} SELECT query_id, CAST(d_rank AS INT) AS d_rank, chunk_id, match, multiplicity FROM dd",
     "rrf_fusion": f"WITH {_bm25_sql()}, {_RANKED}, {_declared_sql()}, {_FUSED} SELECT query_id, CAST(rank AS INT) AS rank, chunk_id, round(rrf, 12) AS rrf FROM fo WHERE rank <= {4 * LIMIT}",
     "fused_search": f"WITH {_bm25_sql()}, {_RANKED}, {_declared_sql()}, {_FUSED}, ranked AS (SELECT fo.*, k.* EXCLUDE (chunk_id) FROM fo JOIN k USING (chunk_id) WHERE rank <= {4 * LIMIT}), {_DEDUP.format(limit=LIMIT)} SELECT done.query_id, done.rank, chunk_id, round(rrf, 12) AS rrf, hint FROM done JOIN fo USING (query_id, chunk_id)",
+    "fused_search_exported": f"WITH {_bm25_sql(f'WHERE regexp_matches(file_path, {_SQ}{_TS}{_SQ})')}, {_RANKED}, {_declared_sql(f'AND regexp_matches(file_path, {_SQ}{_TS}{_SQ})')}, {_FUSED}, ranked AS (SELECT fo.*, k.* EXCLUDE (chunk_id) FROM fo JOIN k USING (chunk_id) WHERE rank <= {4 * LIMIT} AND is_exported), {_DEDUP.format(limit=LIMIT)} SELECT query_id, rank, chunk_id FROM done",
+    "shell_method_dedup_all": f"WITH {_CHUNKS}, ranked AS (SELECT *, split_part(file_path, '/', 1) AS query_id, row_number() OVER (PARTITION BY split_part(file_path, '/', 1) ORDER BY length(content) DESC, chunk_id) AS rank FROM k), {_DEDUP.format(limit=1 << 62)} SELECT query_id AS repo, chunk_id, rank, hint FROM done",
     "fusion_window_effects": f"WITH {_bm25_sql()}, {_RANKED}, {_declared_sql()}, {_FUSED}, a AS (SELECT query_id, chunk_id, CAST(rank AS INT) AS rank_with FROM fo WHERE rank <= {LIMIT}), b AS (SELECT query_id, chunk_id, CAST(f_rank AS INT) AS rank_without FROM ff WHERE f_rank <= {LIMIT}) SELECT * FROM a FULL JOIN b USING (query_id, chunk_id) WHERE rank_with IS DISTINCT FROM rank_without",
     "shell_method_dedup": f"WITH {_CHUNKS}, ranked AS (SELECT *, split_part(file_path, '/', 1) AS query_id, row_number() OVER (PARTITION BY split_part(file_path, '/', 1) ORDER BY length(content) DESC, chunk_id) AS rank FROM k), {_DEDUP.format(limit=50)} SELECT query_id AS repo, chunk_id, rank, hint FROM done",
     "split_identifier_terms": f"WITH {_CHUNKS}, n AS (SELECT DISTINCT symbol_name FROM k WHERE symbol_name IS NOT NULL), w AS (SELECT symbol_name, list_filter(list_transform(regexp_split_to_array(regexp_replace(regexp_replace(symbol_name, '([a-z0-9])([A-Z])', '\\1 \\2', 'g'), '([A-Z]+)([A-Z][a-z])', '\\1 \\2', 'g'), '[^A-Za-z0-9]+'), lambda x: lower(x)), lambda x: length(x) >= 3) AS w FROM n) SELECT symbol_name, array_to_string(list_filter(w, lambda x, i: list_position(w, x) = i), ' ') AS words FROM w",

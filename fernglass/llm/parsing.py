@@ -109,7 +109,8 @@ def _pattern(lang: str) -> str:
 
 def lex_files(files: DataFrame) -> DataFrame:
     """(file_id, lang, pos, tok): significant tokens of every file with a grammar, those after a line end with it before them."""
-    text = F.regexp_replace(F.col("content"), r"^\x{FEFF}?(?:#![^\n]*)?", "")
+    head = F.col("content").startswith("\ufeff") | F.col("content").startswith("#!")
+    text = F.when(head, F.regexp_replace(F.col("content"), r"^\x{FEFF}?(?:#![^\n]*)?", "")).otherwise(F.col("content"))
     # blanks after a line end or a blank are left out
     text = F.regexp_replace(text, r"(?<=\n)[ \t\r\n]++|(?<=[ \t])[ \t\r\f\x0B]++", "")
     text = F.concat(F.lit("\n"), text, F.lit("\n\x04"))
@@ -179,7 +180,8 @@ def with_classes(tokens: DataFrame) -> DataFrame:
     shape = kind + F.when(
         operand,
         flag(tok.contains(","), LISTED)
-        + flag(tok.rlike(r"[.(?+*&|='\"]"), COMPOUND)
+        # without a blank, only a member, a call or a literal is more than a name
+        + flag(tok.contains(".") | tok.contains("(") | (F.col("cls") == "STR") | (tok.contains(" ") & tok.rlike(r"[?+*&|='\"]")), COMPOUND)
         + flag(tok.contains("?.") & tok.rlike(r"\?\.[\w$.]*$"), OPTIONAL)
         + flag(tok.contains(" ") & tok.rlike(r"[+*&|=] [^,(]*$"), BINARY)
         + flag(call, CALL)

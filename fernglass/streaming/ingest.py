@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 from fernglass.operators.ingest import monotonic_merge
 
 QUIET = "500 milliseconds"
+LOG = logging.getLogger("fernglass")
 MAX_FAILURES = 3
 
 
@@ -70,7 +72,7 @@ def current_snapshot(spark: SparkSession, folder: str) -> DataFrame | None:
 
 
 def retrying(write: Callable[[DataFrame, int], None], failures: list[int] | None = None) -> Callable[[DataFrame, int], None]:
-    """Tries a batch up to MAX_FAILURES times, then leaves it out and notes its id."""
+    """Tries a batch up to MAX_FAILURES times, then leaves it out, notes its id and logs why."""
     failures = [] if failures is None else failures
 
     def attempt(batch: DataFrame, batch_id: int) -> None:
@@ -78,7 +80,9 @@ def retrying(write: Callable[[DataFrame, int], None], failures: list[int] | None
             try:
                 return write(batch, batch_id)
             except Exception:
-                if n == MAX_FAILURES - 1:
+                last = n == MAX_FAILURES - 1
+                LOG.warning("batch %s failed, try %s of %s%s", batch_id, n + 1, MAX_FAILURES, ": left out" if last else "", exc_info=True)
+                if last:
                     failures.append(batch_id)
         return None
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,7 +54,7 @@ class CodeIndex:
     def signature(self, symbol: str, file_path: str | None = None, limit: int = PAGE) -> DataFrame:
         rows = self.chunks.filter(F.col("symbol_name") == symbol)
         rows = rows if file_path is None else rows.filter(F.col("file_path") == file_path)
-        head = F.regexp_extract("content", rf"(?m)^.*\b{symbol.rsplit('.', 1)[-1]}\b[^{{;]*", 0)
+        head = F.regexp_extract("content", rf"(?m)^.*(?<![\w$]){re.escape(symbol.rsplit('.', 1)[-1])}(?![\w$])[^{{;]*", 0)
         out = rows.select("symbol_name", "file_path", "start_line", "is_exported", F.trim(head).alias("signature"), first_doc_comment(F.col("content")).alias("doc"))
         return G.page(out.withColumn("types", pascal_types(F.col("signature"))), ["symbol_name"], limit, F.desc("is_exported"), F.col("file_path"), F.col("start_line"))
 

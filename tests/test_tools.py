@@ -1,7 +1,9 @@
+import json
 from datetime import datetime
 
 import pytest
 
+from fernglass import cli
 from fernglass.operators import checker as C
 from fernglass.sources.snapshot import read_snapshot, write_snapshot
 from fernglass.tools import CodeIndex, as_json
@@ -72,3 +74,22 @@ def test_snapshots(spark, tmp_path):
     write_snapshot(spark, root, "v1", {"a": spark.range(3)})
     write_snapshot(spark, root, "v2", {"a": spark.range(5)})
     assert read_snapshot(spark, root)["a"].count() == 5
+
+
+@pytest.mark.parametrize(
+    ("args", "key", "want"),
+    [
+        (["search", "add", "--files", "src/*.ts", "--exported"], "chunk_id", {"c1"}), (["callers", "add"], "caller", {"useAdd"}), (["callers", "add", "--transitive"], "caller", {"useAdd", "top"}), (["exports", "src/a.ts"], "symbol_name", {"add"}),
+        (["signature", "add"], "file_path", {"src/a.ts", "src/b.js"}), (["signature", "$add"], "file_path", set()), (["dependencies", "src/b.ts"], "module", {"./a"}), (["skeleton"], "file_path", {"src/a.ts", "src/b.ts", "src/c.ts"}), (["efficiency"], "tool_name", {"search"}),
+    ],
+)
+def test_command_line(index, args, key, want):
+    rows = as_json(cli.answer(index, cli.parser().parse_args(["--tables", "x", *args]))).collect()
+    assert {json.loads(r.json)[key] for r in rows} == want
+
+
+def test_command_line_reads_snapshots(spark, index, tmp_path, capsys):
+    write_snapshot(spark, str(tmp_path), "v1", index.tables)
+    assert cli.load(spark, str(tmp_path)).dependencies("src/b.ts").count() == 1
+    with pytest.raises(SystemExit):
+        cli.parser().parse_args(["--tables", str(tmp_path), "nothing"])

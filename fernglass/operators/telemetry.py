@@ -104,12 +104,22 @@ def lock_summary(events: DataFrame) -> DataFrame:
     )
 
 
-def follow_on(calls: DataFrame, tools: tuple[str, ...] = FOLLOW_ON) -> DataFrame:
-    """For every search, the first later call of its session to one of ``tools`` (an as-of join, as one window)."""
-    w = Window.partitionBy("session_id").orderBy("call_timestamp", "call_id").rowsBetween(1, Window.unboundedFollowing)
-    hit = F.when(F.col("tool_name").isin(*tools), F.struct("call_id", "tool_name", "call_timestamp"))
-    rows = calls.withColumn("next", F.first(hit, ignorenulls=True).over(w)).filter("tool_name = 'search'")
-    return rows.select("call_id", "session_id", F.col("next.call_id").alias("follow_id"), F.col("next.tool_name").alias("follow_tool"))
+def follow_on(calls: DataFrame, tools: tuple[str, ...] = FOLLOW_ON, span: float = 3600.0) -> DataFrame:
+    """For every search, the first later call of its session to one of ``tools`` (an as-of join).
+
+    Sessions are cut into spans of time. Within a span a window looks ahead;
+    what it does not find is the first such call of the next span that has
+    one, from one row per session and span. So no task holds a whole session.
+    """
+    rows = calls.withColumn("span", F.floor(F.col("call_timestamp") / span))
+    hit = F.when(F.col("tool_name").isin(*tools), F.struct("call_timestamp", "call_id", "tool_name"))
+    firsts = rows.groupBy("session_id", "span").agg(F.min(hit).alias("first"))
+    later = Window.partitionBy("session_id").orderBy("span").rowsBetween(1, Window.unboundedFollowing)
+    beyond = firsts.select(F.col("session_id").alias("s"), F.col("span").alias("t"), F.first("first", ignorenulls=True).over(later).alias("beyond"))
+    w = Window.partitionBy("session_id", "span").orderBy("call_timestamp", "call_id").rowsBetween(1, Window.unboundedFollowing)
+    found = rows.withColumn("within", F.first(hit, ignorenulls=True).over(w)).filter("tool_name = 'search'")
+    found = found.join(beyond, F.col("session_id").eqNullSafe(F.col("s")) & F.col("span").eqNullSafe(F.col("t"))).withColumn("next", F.coalesce("within", "beyond"))
+    return found.select("call_id", "session_id", F.col("next.call_id").alias("follow_id"), F.col("next.tool_name").alias("follow_tool"))
 
 
 def cap_json_list(items: Column, cap: int) -> Column:

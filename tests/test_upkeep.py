@@ -128,3 +128,17 @@ def test_watched_paths_spans_and_ages(spark):
     now = F.lit(1_000_000.0)
     assert [one(T.parse_since(F.lit(t), now)) for t in ("7d", "12h", " 30 m", "1970-01-02", "soon")] == [395_200.0, 956_800.0, 998_200.0, 86_400.0, None]
     assert [one(T.format_age(F.lit(float(s)))) for s in (-3, 40, 61, 7300, 200_000)] == ["0s", "40s", "1m", "2h", "2d"]
+
+
+def test_follow_on_is_the_same_however_sessions_are_cut(spark):
+    rng = random.Random(2)
+    rows = [(i, rng.choice(["a", "b", None]), rng.choice([None, *(float(rng.randrange(400)) for _ in range(20))]), rng.choice(["search", "search", "signature", "exports", "other"])) for i in range(400)]
+    calls = spark.createDataFrame(rows, "call_id bigint, session_id string, call_timestamp double, tool_name string")
+    at = lambda r: (r[2] is not None, r[2] or 0.0, r[0])
+    want = {}
+    for r in rows:
+        if r[3] == "search":
+            later = [x for x in rows if x[1] == r[1] and at(x) > at(r) and x[3] in T.FOLLOW_ON]
+            want[r[0]] = min(later, key=at)[0] if later else None
+    for span in (1.0, 37.0, 1e9):
+        assert {r.call_id: r.follow_id for r in T.follow_on(calls, span=span).collect()} == want

@@ -88,7 +88,8 @@ def pack(items: DataFrame, capacities: dict[str, int], *, open_bins: int = OPEN_
     order = F.xxhash64(F.col("item_id"))
     spread = items.select("*", F.pmod(order, F.lit(lanes)).alias("lane"), order.alias("o"))
     parts = min(lanes, max(items.sparkSession.sparkContext.defaultParallelism, int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    spread = spread.repartition(parts, "lane").sortWithinPartitions("lane", "o", "item_id", "size")
+    # lanes are dealt out in turn: a hash of their numbers would leave some tasks without any
+    spread = spread.repartitionById(parts, F.pmod("lane", F.lit(parts)).cast("int")).sortWithinPartitions("lane", "o", "item_id", "size")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         lane, packers = None, {}

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from fernglass.operators.chunks import current
+from fernglass.operators.reach import Reach
 from fernglass.session import materialize
 
 SYMBOLS = ["symbol_id", "name", "kind", "file_path", "line", "ordinal", "is_exported"]
@@ -78,6 +83,42 @@ def closure(links: DataFrame, start: DataFrame, max_depth: int | None = None, ho
     return reduce(lambda x, y: x.unionByName(y), levels) if levels else start.select(*by, "node", F.lit(0).alias("depth")).limit(0)
 
 
+#: Links that are shipped to the workers; beyond, they are joined. Tasks of a search.
+SHIPPED, TASKS = 1 << 20, 1 << 10
+
+
+def closure_of_all(links: DataFrame, shipped: int = SHIPPED) -> DataFrame:
+    """(target, node, depth): ``closure`` from every dst of ``links`` (src, dst), apart for each.
+
+    The pairs can be as many as the square of the nodes. Up to ``shipped`` links
+    every task searches its targets in memory and pairs are neither shuffled
+    nor written on the way; more links are joined level by level, with the same
+    result.
+    """
+    links = materialize(links.select("src", "dst").filter("dst is not null").distinct())
+    n, spark = links.count(), links.sparkSession
+    if not 0 < n <= shipped:
+        return closure(links, links.select(F.col("dst").alias("target"), F.col("dst").alias("node")), by=("target",))
+    ends = links.toArrow()  # SHIPPED at most
+    both = pa.chunked_array(ends.column("src").chunks + ends.column("dst").chunks).combine_chunks()
+    # what has no name is a node that nothing reaches
+    names = pc.unique(both)
+    code = pc.index_in(both, names).to_numpy()
+    graph = Reach(code[:n], code[n:], len(names))
+    sent, batches = spark.sparkContext.broadcast(graph), graph.batches()
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows:
+            for i in batch.column(0).to_pylist():
+                for found in sent.value.search(i):
+                    yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int32)) for x in found], names=["t", "n", "depth"])
+
+    # one row, so that names are looked up where the pairs arise
+    named = spark.createDataFrame(pa.table({"names": pa.array([names.take(pa.array(graph.order)).to_pylist()], pa.list_(both.type))}))
+    pairs = spark.range(0, batches, 1, min(batches, TASKS)).mapInArrow(run, "t int, n int, depth int").crossJoin(F.broadcast(named))
+    return pairs.select(F.get("names", "t").alias("target"), F.get("names", "n").alias("node"), "depth")
+
+
 def chain(links: DataFrame, hops: int = 5) -> DataFrame:
     """(node, end, hops): follows single links (src, dst) up to ``hops`` steps; ``links`` has one dst per src."""
     step = links.select(F.col("src").alias("at"), F.col("dst").alias("to"))

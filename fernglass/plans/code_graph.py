@@ -45,8 +45,7 @@ def graph_transitive_callers(spark: SparkSession, sf: str) -> DataFrame:
 
 def graph_transitive_callers_all(spark: SparkSession, sf: str) -> DataFrame:
     """(target, node, depth): the callers of every called symbol."""
-    calls = _calls(spark, sf)
-    return G.closure(calls, calls.select(F.col("dst").alias("target"), F.col("dst").alias("node")), by=("target",))
+    return G.closure_of_all(_calls(spark, sf))
 
 
 def graph_bounded_chain(spark: SparkSession, sf: str) -> DataFrame:

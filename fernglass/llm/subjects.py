@@ -3,10 +3,13 @@
 1. Texts become sentences of 64-bit word hashes, written once. Every later
    pass works on these by Arrow batch, in array operations.
 2. Document vectors are term counts in hashed dimensions, weighted by the
-   inverse document frequency over all documents and normalised. Bisecting
-   k-means under the cosine distance is fitted on a bounded sample
-   (``SAMPLE`` documents, by hash of the id) in one task. The tree it leaves is
-   a constant (``LEAVES`` - 1 splits); every document goes down it.
+   inverse document frequency over all documents and normalised, in whole
+   numbers, written once. Bisecting k-means under the cosine distance is
+   fitted on all of them: a round divides many clusters, and each iteration of
+   a round is one pass over the vectors that leaves a sum a cluster. Sums of whole numbers are exact, so
+   the tree is the same however the table is laid out, and the same where few
+   vectors are fitted within one task. The tree is a constant (``LEAVES`` - 1
+   splits); every document goes down it.
 3. A leaf's mixture over subjects is counted from all hand-labelled documents
    in it, drawn towards the overall mixture. Labels enter nowhere else.
 4. A term's subjects are unmixed from the leaves it occurs in: the mixtures of
@@ -20,8 +23,8 @@
    document has every subject that takes at least ``share`` of its sentences
    about any subject.
 
-What reaches the driver is bounded by parameters: the tree, document
-frequencies by dimension, leaf sizes, leaves times subjects label counts.
+What reaches the driver is bounded by parameters: the tree, for each task of a
+pass (``TASKS`` at most) a sum a cluster, document frequencies by dimension, leaf sizes, leaves times subjects label counts.
 Speaking terms are shipped to the workers only up to ``SHIPPED`` of them;
 beyond, sentences meet their terms in a join, with the same result.
 
@@ -36,6 +39,7 @@ name; columns other than the named ones are ignored.
 from __future__ import annotations
 
 import hashlib
+import pickle
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -46,11 +50,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from fernglass.session import materialize
+from fernglass.session import forget, materialize
 
-#: Documents the tree is fitted on, leaves of the tree, hashed dimensions of a document's vector.
-SAMPLE, LEAVES, DIMENSIONS = 8192, 256, 1 << 13
-#: A cluster of fewer sampled documents is not divided; iterations of each division.
+#: Leaves of the tree, hashed dimensions of a document's vector, the whole number that stands for 1 in it.
+LEAVES, DIMENSIONS, ONE = 256, 1 << 13, (1 << 15) - 1
+#: Cells of all vectors up to which one task fits the tree; tasks of a pass beyond.
+TOGETHER, TASKS = 1 << 22, 48
+#: Cells divided at once.
+CACHED = 1 << 15
+#: A cluster of fewer documents is not divided; iterations of each division.
 LEAST_CLUSTER, ITERATIONS = 32, 6
 #: The part of a term's occurrences that it must owe to one subject to speak, and the documents it must occur in.
 SPEAKS, LEAST_DOCUMENTS = 0.6, 3
@@ -110,15 +118,27 @@ def prepare(documents: DataFrame) -> DataFrame:
     return materialize(documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, tokens array<bigint>"))
 
 
-def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
+def _numbers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(values, offsets) of lists, or of 32-bit numbers that are bytes to Spark, which passes those on as they are."""
+    if not pa.types.is_binary(column.type):
+        return column.values.to_numpy(), column.offsets.to_numpy()
+    _, at, values = column.buffers()
+    return np.frombuffer(values or b"", np.int32), np.frombuffer(at, np.int32)[column.offset : column.offset + len(column) + 1] // 4
+
+
+def _bytes(values: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    """What ``_numbers`` reads."""
+    return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer((4 * offsets).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values, np.int32))])
+
+
+def slices(batches: Iterator[pa.RecordBatch], column: str = "tokens") -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
     """(ids, tokens, offsets) of a few documents at a time, however long they are."""
     for batch in batches:
-        lists = batch.column("tokens")
-        at = lists.offsets.to_numpy()
+        values, at = _numbers(batch.column(column))
         lo, n = 0, len(batch)
         while lo < n:
             hi = max(lo + 1, int(np.searchsorted(at, at[lo] + SLICE, side="right")) - 1)
-            yield batch.column("doc_id").slice(lo, hi - lo), lists.values.slice(at[lo], at[hi] - at[lo]).to_numpy(), (at[lo : hi + 1] - at[lo]).astype(np.int64)
+            yield batch.column(0).slice(lo, hi - lo), values[at[lo] : at[hi]], (at[lo : hi + 1] - at[lo]).astype(np.int64)
             lo = hi
 
 
@@ -166,7 +186,7 @@ class Tree:
     def descend(self, document: np.ndarray, dim: np.ndarray, value: np.ndarray, n: int) -> np.ndarray:
         """Leaf of each of ``n`` documents given by sparse (document, dimension, value)."""
         node = np.zeros(n, np.int64) if len(self.left) else np.full(n, ~0)
-        flat = self.weights.reshape(-1)
+        flat, value = self.weights.reshape(-1), value.astype(np.float32)
         while (node >= 0).any():
             at = node[document]
             on = at >= 0
@@ -175,94 +195,243 @@ class Tree:
         return ~node
 
 
-def bisect(document: np.ndarray, dim: np.ndarray, value: np.ndarray, n: int, leaves: int, seed: int = 7) -> Tree:
-    """Bisecting k-means of ``n`` unit vectors: the cluster with the greatest total distance from its centre is divided next."""
-    rng = np.random.default_rng(seed)
-    starts = np.searchsorted(document, np.arange(n + 1))
-
-    def part(members: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        lengths = starts[members + 1] - starts[members]
-        own = np.repeat(np.arange(len(members)), lengths)
-        at = np.arange(len(own)) - np.repeat(np.cumsum(lengths) - lengths, lengths) + np.repeat(starts[members], lengths)
-        return own, dim[at], value[at]
-
-    def centre(d: np.ndarray, v: np.ndarray) -> np.ndarray:
-        c = np.bincount(d, v, minlength=DIMENSIONS)
-        return c / max(1e-9, np.linalg.norm(c))
-
-    def loss(members: np.ndarray) -> float:
-        _, d, v = part(members)
-        return len(members) - float(np.linalg.norm(np.bincount(d, v, minlength=DIMENSIONS)))
-
-    def divide(members: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
-        own, d, v = part(members)
-        a, b = rng.choice(len(members), 2, replace=False)
-        way = centre(d[own == a], v[own == a]) - centre(d[own == b], v[own == b])
-        for _ in range(ITERATIONS):
-            side = np.bincount(own, way[d] * v, minlength=len(members)) >= 0
-            if side.all() or not side.any():
-                return None
-            on = side[own]
-            way = (centre(d[on], v[on]) - centre(d[~on], v[~on])).astype(np.float32)
-        side = np.bincount(own, way[d] * v, minlength=len(members)) >= 0
-        return None if side.all() or not side.any() else (way.astype(np.float32), side)
-
-    every = np.arange(n)
+@dataclass
+class Tally:
+    """Of clusters that are divided: documents on the left and the right of each, the sum of those on the left, and two of each side."""
+
+    n: np.ndarray
+    left: np.ndarray
+    seeds: list[dict[int, np.ndarray]]
+
+    @staticmethod
+    def none(m: int) -> Tally:
+        return Tally(np.zeros(2 * m, np.int64), np.zeros((m, DIMENSIONS)), [{} for _ in range(2 * m)])
+
+    def __iadd__(self, other: Tally) -> Tally:
+        self.n += other.n
+        self.left += other.left
+        self.seeds = [_least({**a, **b}) for a, b in zip(self.seeds, other.seeds, strict=True)]
+        return self
+
+
+def _least(seeds: dict[int, np.ndarray]) -> dict[int, np.ndarray]:
+    """The two of least hash, by which equal vectors are one."""
+    return {h: seeds[h] for h in sorted(seeds)[:2]}
+
+
+def _divided(cells: np.ndarray, offsets: np.ndarray, slot: np.ndarray, clusters: np.ndarray, ways: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(documents, place of their cluster, whether they go left, lengths, place and dimension of every cell, value) of the documents at ``slot`` in ``clusters``, some at a time."""
+    which = np.full(1 + max(slot.max(initial=0), clusters.max()), -1)
+    which[clusters] = np.arange(len(clusters))
+    lo = 0
+    while lo < len(slot):
+        hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + CACHED, side="right")) - 1)
+        at, lengths, part = which[slot[lo:hi]], np.diff(offsets[lo : hi + 1]), cells[offsets[lo] : offsets[hi]]
+        d = np.flatnonzero(at >= 0)
+        if len(d) < len(at):
+            part, at, lengths = part[np.repeat(at >= 0, lengths)], at[d], lengths[d]
+        if len(d):
+            key = np.repeat(at * DIMENSIONS, lengths) + (part >> 16)
+            value = (part & 0xFFFF).astype(np.float64)
+            left = np.add.reduceat(ways.reshape(-1)[key] * value, np.cumsum(lengths) - lengths) >= 0
+            yield lo + d, at, left, lengths, key, value
+        lo = hi
+
+
+def tally(out: Tally, cells: np.ndarray, offsets: np.ndarray, slot: np.ndarray, clusters: np.ndarray, ways: np.ndarray, seeds: bool) -> None:
+    """Add to ``out`` what the documents at ``slot`` add to ``clusters``, each divided by the sign of the product with its way."""
+    if seeds:
+        # any order will do that does not hang on the layout
+        mixed = (cells.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+        mixed = np.append(np.uint64(0), np.cumsum((mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)))
+        h = mixed[offsets[1:]] - mixed[offsets[:-1]]
+    for d, at, left, lengths, key, value in _divided(cells, offsets, slot, clusters, ways):
+        side = 2 * at + ~left
+        out.n += np.bincount(side, minlength=len(out.n))
+        on = np.repeat(left, lengths)
+        np.add.at(out.left.reshape(-1), key[on], value[on])
+        if seeds:
+            by = np.lexsort((h[d], side))
+            d, side = d[by], side[by]
+            new = np.append(True, (side[1:] != side[:-1]) | (h[d][1:] != h[d][:-1]))
+            d, side = d[new], side[new]
+            first = np.append(True, side[1:] != side[:-1])
+            two = first | np.append(False, first[:-1])
+            for i, j in zip(d[two], side[two], strict=True):
+                out.seeds[j] = _least({**out.seeds[j], int(h[i]): cells[offsets[i] : offsets[i + 1]].copy()})
+
+
+def moved(cells: np.ndarray, offsets: np.ndarray, slot: np.ndarray, clusters: np.ndarray, ways: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """``slot`` after ``clusters`` are divided: those on the right go to ``others``."""
+    slot = slot.copy()
+    for d, at, left, *_ in _divided(cells, offsets, slot, clusters, ways):
+        slot[d[~left]] = others[at[~left]]
+    return slot
+
+
+class Together:
+    """Documents in memory, each at its cluster."""
+
+    def __init__(self, cells: np.ndarray, offsets: np.ndarray):
+        # without those that have no cell
+        self.cells, self.offsets = cells, np.unique(offsets)
+        self.slot = np.zeros(len(self.offsets) - 1, np.int64)
+
+    def tally(self, clusters: np.ndarray, ways: np.ndarray, seeds: bool) -> Tally:
+        out = Tally.none(len(clusters))
+        tally(out, self.cells, self.offsets, self.slot, clusters, ways, seeds)
+        return out
+
+    def move(self, clusters: np.ndarray, ways: np.ndarray, others: np.ndarray) -> None:
+        self.slot = moved(self.cells, self.offsets, self.slot, clusters, ways, others)
+
+
+class Apart:
+    """Documents in a written table (slot, cells), each at its cluster; the table is written anew after a round, the one before it deleted."""
+
+    def __init__(self, vectors: DataFrame):
+        self.said, self.written = vectors.filter("length(cells) > 0").select(F.lit(0).cast("bigint").alias("slot"), "cells"), False
+
+    def tally(self, clusters: np.ndarray, ways: np.ndarray, seeds: bool) -> Tally:
+        sent = self.said.sparkSession.sparkContext.broadcast((clusters, ways))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            clusters, ways = sent.value
+            part = Tally.none(len(clusters))
+            for slot, cells, offsets in slices(batches, "cells"):
+                tally(part, cells, offsets, slot.to_numpy(), clusters, ways, seeds)
+            if part.n.any():
+                if part.left.max(initial=0) < 1 << 31:
+                    part.left = part.left.astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(part)])], names=["part"])
+
+        out = Tally.none(len(clusters))
+        for r in self.said.filter(F.col("slot").isin(clusters.tolist())).coalesce(TASKS).mapInArrow(run, "part binary").collect():  # a row a task
+            out += pickle.loads(r.part)
+        sent.destroy()
+        return out
+
+    def move(self, clusters: np.ndarray, ways: np.ndarray, others: np.ndarray) -> None:
+        sent = self.said.sparkSession.sparkContext.broadcast((clusters, ways, others))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for slot, cells, offsets in slices(batches, "cells"):
+                new = moved(cells, offsets, slot.to_numpy(), *sent.value)
+                yield pa.RecordBatch.from_arrays([pa.array(new), _bytes(cells, offsets)], names=["slot", "cells"])
+
+        before, after = self.said, materialize(self.said.mapInArrow(run, "slot bigint, cells binary"))
+        sent.destroy()
+        if self.written:
+            forget(before)
+        self.said, self.written = after, True
+
+
+def grow(documents: Together | Apart, leaves: int) -> Tree:
+    """Bisecting k-means, by passes over all documents: those clusters are divided first whose total distance from the centre is greatest.
+
+    A round divides together the open clusters that have at least an even share
+    of the whole distance, were it spread over ``leaves`` clusters. A cluster
+    starts from two of its documents.
+    """
     weights, left, right = [], [], []
-    # (members, total distance, parent, is it the left child)
-    open_, closed = [(every, loss(every) if n else 0.0, -1, True)], []
-    while open_ and len(open_) + len(closed) < leaves:
-        i = max(range(len(open_)), key=lambda k: open_[k][1])
-        members, _, parent, is_left = open_.pop(i)
-        cut = divide(members) if len(members) >= LEAST_CLUSTER else None
-        if cut is None:
-            closed.append((members, 0.0, parent, is_left))
-            continue
-        me = len(left)
-        weights.append(cut[0])
-        left.append(0)
-        right.append(0)
-        if parent >= 0:
-            (left if is_left else right)[parent] = me
-        for side in (True, False):
-            kept = members[cut[1] == side]
-            open_.append((kept, loss(kept), me, side))
-    for j, (_, _, parent, is_left) in enumerate(open_ + closed):
-        if parent >= 0:
-            (left if is_left else right)[parent] = ~j
-    return Tree(np.array(weights, np.float32).reshape(-1, DIMENSIONS), np.array(left, np.int64), np.array(right, np.int64), len(open_) + len(closed))
-
-
-def fit(prepared: DataFrame, idf: np.ndarray, n: int, leaves: int = LEAVES, sample: int = SAMPLE) -> Tree:
-    """The tree of at most ``leaves`` leaves over about ``sample`` documents with words, fitted in one task."""
-    part = F.lit(1.0) if n <= sample else F.lit(sample / n)
-    chosen = prepared.filter(F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(1 << 30)) < part * (1 << 30)).filter("size(tokens) > 0")
+
+    def centre(sums: np.ndarray) -> np.ndarray:
+        return sums / np.maximum(1e-9, np.linalg.norm(sums, axis=-1, keepdims=True))
+
+    def seed(cells: np.ndarray) -> np.ndarray:
+        return np.bincount(cells >> 16, cells & 0xFFFF, minlength=DIMENSIONS)
+
+    whole = documents.tally(np.zeros(1, np.int64), np.zeros((1, DIMENSIONS), np.float32), True)
+    # of every cluster: documents, sum, seeds, whether it may be divided, and where the tree has it
+    size, total, seeds, open_, held = [int(whole.n[0])], [whole.left[0]], [whole.seeds[0]], [True], [None]
+    last = None
+    while True:
+        loss = [n - float(np.linalg.norm(t)) / ONE for n, t in zip(size, total, strict=True)]
+        may = sorted((c for c in range(len(size)) if open_[c] and size[c] >= LEAST_CLUSTER and len(seeds[c]) == 2), key=lambda c: (-loss[c], c))
+        least = min(sum(loss) / leaves, loss[may[0]]) if may else 0
+        clusters = np.array([c for c in may[: leaves - len(size)] if loss[c] >= least], np.int64)
+        if not len(clusters):
+            break
+        if last is not None:
+            documents.move(*last)
+        ways = np.array([np.subtract(*centre(np.array([seed(x) for x in seeds[c].values()]))) for c in clusters], np.float32)
+        for i in range(ITERATIONS + 1):
+            got = documents.tally(clusters, ways, i == ITERATIONS)
+            both = (got.n.reshape(-1, 2) > 0).all(1)
+            for c in clusters[~both]:
+                open_[c] = False
+            clusters, ways, of_left = clusters[both], ways[both], got.left[both]
+            if not len(clusters):
+                break
+            if i < ITERATIONS:
+                ways = (centre(of_left) - centre(np.array([total[c] for c in clusters]) - of_left)).astype(np.float32)
+        others = len(size) + np.arange(len(clusters))
+        for c, other, way, sums, k in zip(clusters, others, ways, of_left, np.flatnonzero(both), strict=True):
+            me = len(left)
+            if held[c]:
+                held[c][0][held[c][1]] = me
+            weights.append(way)
+            left.append(~c)
+            right.append(~other)
+            held[c] = (left, me)
+            held.append((right, me))
+            size.append(int(got.n[2 * k + 1]))
+            total.append(total[c] - sums)
+            seeds.append(got.seeds[2 * k + 1])
+            open_.append(True)
+            size[c], total[c], seeds[c] = int(got.n[2 * k]), sums, got.seeds[2 * k]
+        last = (clusters, ways, others) if len(clusters) else None
+    return Tree(np.array(weights, np.float32).reshape(-1, DIMENSIONS), np.array(left, np.int64), np.array(right, np.int64), len(size))
+
+
+def bisect_cells(cells: np.ndarray, offsets: np.ndarray, leaves: int) -> Tree:
+    """The tree of documents in memory."""
+    return grow(Together(cells, offsets), leaves)
+
+
+def bisect(document: np.ndarray, dim: np.ndarray, value: np.ndarray, n: int, leaves: int) -> Tree:
+    """The tree of ``n`` unit vectors, in the order of the documents."""
+    return bisect_cells(packed(dim, value), np.searchsorted(document, np.arange(n + 1)), leaves)
+
+
+def packed(dim: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """A cell of a vector in a number: dimension and value, of which ``ONE`` is 1."""
+    return (dim.astype(np.int32) << 16) | np.rint(value * ONE).astype(np.int32)
+
+
+def vectors(prepared: DataFrame, idf: np.ndarray) -> DataFrame:
+    """(doc_id, cells): the vector of every document, written."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        documents, dims, values, total = [], [], [], 0
         for ids, tokens, offsets in slices(batches):
             d, k, v = _weighted(tokens, offsets, idf)
-            documents.append(d + total)
-            dims.append(k)
-            values.append(v)
-            total += len(ids)
-        t = bisect(*(np.concatenate(x) for x in (documents, dims, values)), total, leaves) if total else Tree(np.zeros((0, DIMENSIONS), np.float32), np.zeros(0, np.int64), np.zeros(0, np.int64), 1)
-        packed = pa.array([w.tobytes() for w in t.weights], pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(t.left))), pa.array(t.left), pa.array(t.right), packed], names=["node", "left", "right", "weights"])
+            said = v > 0
+            ends = np.searchsorted(d[said], np.arange(len(offsets)))
+            yield pa.RecordBatch.from_arrays([ids, _bytes(packed(k[said], v[said] / ONE), ends)], names=["doc_id", "cells"])
+
+    return materialize(prepared.mapInArrow(run, "doc_id bigint, cells binary"))
+
 
-    # the sample is bounded; ids order it, so that the tree does not depend on how the table is laid out
-    rows = chosen.repartition(1).sortWithinPartitions("doc_id", F.xxhash64("tokens")).mapInArrow(run, "node bigint, left bigint, right bigint, weights binary").collect()
-    rows.sort(key=lambda r: r.node)
-    weights = np.frombuffer(b"".join(bytes(r.weights) for r in rows), np.float32).reshape(-1, DIMENSIONS)
-    return Tree(weights, np.array([r.left for r in rows], np.int64), np.array([r.right for r in rows], np.int64), len(rows) + 1)
+def fit(vectors: DataFrame, leaves: int = LEAVES, together: int = TOGETHER) -> Tree:
+    """The tree of at most ``leaves`` leaves over all documents with words: in one task up to ``together`` cells, else by passes, with the same result."""
+    said = vectors.select("cells").filter("length(cells) > 0")
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lists = [(cells, np.diff(offsets)) for _, cells, offsets in slices(batches, "cells")]
+        cells, lengths = (np.concatenate(x) for x in zip(*lists, strict=True)) if lists else (np.zeros(0, np.int32), np.zeros(0, np.int64))
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(bisect_cells(cells, np.append(0, np.cumsum(lengths, dtype=np.int64)), leaves))])], names=["part"])
+
+    if (said.agg(F.sum(F.length("cells"))).first()[0] or 0) <= 4 * together:
+        return pickle.loads(said.repartition(1).mapInArrow(whole, "part binary").first().part)
+    return grow(Apart(vectors), leaves)
 
 
 def _weighted(tokens: np.ndarray, offsets: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Unit vectors of documents as (document, dimension, value)."""
+    """Unit vectors of documents as (document, dimension, value), in whole numbers of which ``ONE`` is 1."""
     d, k, n = counted(tokens, offsets)
     v = n * idf[k]
     norm = np.sqrt(np.bincount(d, v * v, minlength=len(offsets) - 1))
-    return d, k, (v / np.maximum(norm, 1e-9)[d]).astype(np.float32)
+    return d, k, np.rint(v / np.maximum(norm, 1e-9)[d] * ONE).astype(np.float32)
 
 
 class Leaves:
@@ -276,14 +445,15 @@ class Leaves:
         return tree.descend(*_weighted(tokens, offsets, idf), len(offsets) - 1)
 
 
-def leaf_table(prepared: DataFrame, leaves: Leaves) -> DataFrame:
+def leaf_table(vectors: DataFrame, leaves: Leaves) -> DataFrame:
     """(doc_id, leaf) of every document, written."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, tokens, offsets in slices(batches):
-            yield pa.RecordBatch.from_arrays([ids, pa.array(leaves.of(tokens, offsets))], names=["doc_id", "leaf"])
+        for ids, cells, offsets in slices(batches, "cells"):
+            leaf = leaves.shipped.value[0].descend(_of_document(offsets), cells >> 16, cells & 0xFFFF, len(ids))
+            yield pa.RecordBatch.from_arrays([ids, pa.array(leaf)], names=["doc_id", "leaf"])
 
-    return materialize(prepared.mapInArrow(run, "doc_id bigint, leaf bigint"))
+    return materialize(vectors.mapInArrow(run, "doc_id bigint, leaf bigint"))
 
 
 def term_counts(prepared: DataFrame, leaves: Leaves) -> DataFrame:
@@ -433,8 +603,9 @@ def subject_areas(documents: DataFrame, labels: DataFrame, subjects: list[str],
     prepared = prepare(documents)
     df, n = document_frequencies(prepared)
     idf = inverse_frequencies(df, n)
-    tree = Leaves(spark, fit(prepared, idf, n, leaves), idf)
-    table = leaf_table(prepared, tree)
+    said = vectors(prepared, idf)
+    tree = Leaves(spark, fit(said, leaves), idf)
+    table = leaf_table(said, tree)
     mixed = leaf_mixtures(table, labels, subjects, tree.shipped.value[0])
     counts = term_counts(prepared, tree)
     if mixed is None:

@@ -82,6 +82,12 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget(df: DataFrame) -> None:
+    """Delete what ``materialize`` wrote for ``df``, which nothing reads any more."""
+    for path in {x.rpartition("/")[0] for x in df.inputFiles()}:
+        _remove(df.sparkSession, path)
+
+
 def input_partitions(spark: SparkSession) -> int:
     """Shuffle partitions as the session sets them."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -78,6 +78,22 @@ def test_tree_sends_documents_to_the_leaf_they_were_fitted_in():
     assert tree.leaves == 4 and len({(t, x) for t, x in zip(topic, leaf, strict=True)}) == 4
 
 
+def test_tree_is_fitted_on_every_document(spark, monkeypatch):
+    rng = random.Random(8)
+    words = [[f"{chr(97 + t)}{chr(97 + i)}word" for i in range(12)] for t in range(6)]
+    rows = [(i, " ".join(rng.choices(words[i % 6], k=6) + rng.choices(words[(i // 6) % 6], k=2))) for i in range(9000)] + [(9001, ""), (9002, None)]
+    monkeypatch.setattr(S, "SLICE", 5000)
+    prepared = S.prepare(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5))
+    idf = S.inverse_frequencies(*S.document_frequencies(prepared))
+    said = S.vectors(prepared, idf)
+    passes, together = S.fit(said, 16, together=0), S.fit(said, 16)
+    vectors = [np.frombuffer(r.cells, np.int32) for r in said.collect() if r.cells]
+    every = S.bisect_cells(np.concatenate(vectors), np.append(0, np.cumsum([len(x) for x in vectors])), 16)
+    assert len(vectors) == 9000
+    for tree in (passes, together):
+        assert tree.leaves == 16 and (tree.weights == every.weights).all() and (tree.left == every.left).all() and (tree.right == every.right).all()
+
+
 def test_empty_and_unlabelled(spark):
     none = spark.createDataFrame([], "doc_id bigint, text string")
     labels = spark.createDataFrame([], "doc_id bigint, subject string")

@@ -46,6 +46,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -54,10 +55,12 @@ from fernglass.session import forget, materialize
 
 #: Leaves of the tree, hashed dimensions of a document's vector, the whole number that stands for 1 in it.
 LEAVES, DIMENSIONS, ONE = 256, 1 << 13, (1 << 15) - 1
-#: Cells of all vectors up to which one task fits the tree; tasks of a pass beyond.
+#: Cells of all vectors up to which one task fits the tree; beyond, a task of a pass takes as many, or more where tasks are this many.
 TOGETHER, TASKS = 1 << 22, 48
-#: Cells divided at once.
+#: Cells divided at once, which are a block, a row of the table that passes read; how that is written and read, as its rows are large.
 CACHED = 1 << 15
+FEW = {"spark.sql.parquet.columnarReaderBatchSize": "8", "spark.sql.execution.arrow.maxRecordsPerBatch": "8"}
+BLOCKS = {"compression": "none", "parquet.enable.dictionary": "false", "parquet.block.size": str(1 << 22), "parquet.page.size.row.check.min": "10"}
 #: A cluster of fewer documents is not divided; iterations of each division.
 LEAST_CLUSTER, ITERATIONS = 32, 6
 #: The part of a term's occurrences that it must owe to one subject to speak, and the documents it must occur in.
@@ -80,15 +83,39 @@ def sentences(text: str) -> list[str]:
     return _STOP.sub("\n", _INLINE.sub(" ", text).lower()).translate(_APART).split("\n")
 
 
+#: Ends a sentence among its words; no word is a comma. What is a space to Python besides the plain one and the line's end.
+MARK = ","
+_SPACES = dict.fromkeys([*range(0x9, 0xA), *range(0xB, 0xE), *range(0x1C, 0x20), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000], " ")
+
+
+def _blank(text: str, table: dict[int, str]) -> str:
+    if text.isascii():
+        return text.translate(table)
+    # beyond ASCII, translating goes by the character
+    for c in table:
+        text = text.replace(chr(c), " ")
+    return text
+
+
+def words(text: str) -> str:
+    """The words of its ``sentences`` between spaces, ``MARK`` after each sentence."""
+    if "```" in text:
+        text = _BLOCK.sub("\n", text)
+    text = _blank(_INLINE.sub(" ", text).lower(), _SPACES)
+    for stop in ".!?":
+        text = text.replace(f"{stop} ", "\n ")
+    return f"{_blank(text, _APART)}\n".replace("\n", f" {MARK} ")
+
+
 class Hashes(dict):
-    """Word to its 64-bit hash, 0 for what is no word; forgets when it has grown large."""
+    """Word to its 64-bit hash, 0 for what is no word, ``BREAK`` for ``MARK``; forgets when it has grown large."""
 
     MOST = 1 << 20
 
     def __missing__(self, word: str) -> int:
         if len(self) >= self.MOST:
             self.clear()
-        h = 0
+        h = BREAK if word == MARK else 0
         if len(word) > 1 and word[0].isalpha():
             h = int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True) or 1
         self[word] = h
@@ -105,15 +132,15 @@ def prepare(documents: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Hashes()
         for batch in batches:
-            flat, ends = [], [0]
-            for text in batch.column("text").to_pylist():
-                for s in sentences(text or ""):
-                    if s:
-                        flat += [h for h in map(known.__getitem__, s.split()) if h]
-                        if flat and flat[-1] != BREAK:
-                            flat.append(BREAK)
-                ends.append(len(flat))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int64()))], names=["doc_id", "tokens"])
+            lists = pc.split_pattern(pa.array([words(text or "") for text in batch.column("text").to_pylist()], pa.string()), " ")
+            coded = lists.values.dictionary_encode()
+            flat = np.array([known[w] for w in coded.dictionary.to_pylist()], np.int64)[coded.indices.to_numpy()]
+            is_word = np.flatnonzero(flat)
+            flat = flat[is_word]
+            # a break follows a word, so a document, which ends in one, doesn't begin with one
+            kept = (flat != BREAK) | (np.append(BREAK, flat[:-1]) != BREAK)[: len(flat)]
+            at = np.searchsorted(is_word[kept], lists.offsets.to_numpy())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(flat[kept]))], names=["doc_id", "tokens"])
 
     return materialize(documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, tokens array<bigint>"))
 
@@ -185,14 +212,25 @@ class Tree:
 
     def descend(self, document: np.ndarray, dim: np.ndarray, value: np.ndarray, n: int) -> np.ndarray:
         """Leaf of each of ``n`` documents given by sparse (document, dimension, value)."""
-        node = np.zeros(n, np.int64) if len(self.left) else np.full(n, ~0)
-        flat, value = self.weights.reshape(-1), value.astype(np.float32)
-        while (node >= 0).any():
-            at = node[document]
-            on = at >= 0
-            side = np.bincount(document[on], flat[at[on] * DIMENSIONS + dim[on]] * value[on], minlength=n) >= 0
-            node = np.where(node < 0, node, np.where(side, self.left[np.maximum(node, 0)], self.right[np.maximum(node, 0)]))
-        return ~node
+        out = np.full(n, ~0)
+        flat, value, at = self.weights.reshape(-1), value.astype(np.float32), np.searchsorted(document, np.arange(n + 1))
+        lo = 0 if len(self.left) else n
+        while lo < n:
+            hi = max(lo + 1, int(np.searchsorted(at, at[lo] + CACHED, side="right")) - 1)
+            # of the documents that have not come to a leaf
+            on, lengths, node = np.arange(lo, hi), np.diff(at[lo : hi + 1]), np.zeros(hi - lo, np.int64)
+            k, v = dim[at[lo] : at[hi]], value[at[lo] : at[hi]]
+            while len(on):
+                own = np.repeat(np.arange(len(on)), lengths)
+                left = np.bincount(own, flat[np.repeat(node * DIMENSIONS, lengths) + k] * v, minlength=len(on)) >= 0
+                node = np.where(left, self.left[node], self.right[node])
+                out[on] = node
+                go = node >= 0
+                if not go.all():
+                    cells = np.repeat(go, lengths)
+                    on, lengths, node, k, v = on[go], lengths[go], node[go], k[cells], v[cells]
+            lo = hi
+        return ~out
 
 
 @dataclass
@@ -269,6 +307,14 @@ def moved(cells: np.ndarray, offsets: np.ndarray, slot: np.ndarray, clusters: np
     return slot
 
 
+def beside(cells: np.ndarray, offsets: np.ndarray, slot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The documents anew, those of a cluster beside each other, so that what a pass gathers for a cluster stays near."""
+    order = np.argsort(slot, kind="stable")
+    lengths = np.diff(offsets)[order]
+    ends = np.append(0, np.cumsum(lengths))
+    return cells[np.repeat(offsets[:-1][order] - ends[:-1], lengths) + np.arange(ends[-1])], ends, slot[order]
+
+
 class Together:
     """Documents in memory, each at its cluster."""
 
@@ -277,53 +323,112 @@ class Together:
         self.cells, self.offsets = cells, np.unique(offsets)
         self.slot = np.zeros(len(self.offsets) - 1, np.int64)
 
-    def tally(self, clusters: np.ndarray, ways: np.ndarray, seeds: bool) -> Tally:
+    def tally(self, clusters: np.ndarray, ways: np.ndarray, seeds: bool, last: tuple | None = None) -> Tally:
+        if last:
+            self.cells, self.offsets, self.slot = beside(self.cells, self.offsets, moved(self.cells, self.offsets, self.slot, *last))
         out = Tally.none(len(clusters))
         tally(out, self.cells, self.offsets, self.slot, clusters, ways, seeds)
         return out
 
-    def move(self, clusters: np.ndarray, ways: np.ndarray, others: np.ndarray) -> None:
-        self.slot = moved(self.cells, self.offsets, self.slot, clusters, ways, others)
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(slot, cells, offsets) of the documents of each block."""
+    for batch in batches:
+        for row in zip(*(batch.column(c) for c in ("slots", "lengths", "cells")), strict=True):
+            slot, lengths, cells = (np.frombuffer(x.as_buffer(), np.int32) for x in row)
+            yield slot.astype(np.int64), cells, np.append(0, np.cumsum(lengths, dtype=np.int64))
+
+
+def _gathered(parts: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The same documents, some ``SLICE`` cells at a time."""
+    held, n = [], 0
+
+    def whole() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held]), np.append(0, np.cumsum(np.concatenate([np.diff(x[2]) for x in held])))
+
+    for part in parts:
+        held.append(part)
+        n += len(part[1])
+        if n >= SLICE:
+            yield whole()
+            held, n = [], 0
+    if n:
+        yield whole()
+
+
+def _written(slot: np.ndarray, cells: np.ndarray, offsets: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Rows of blocks that ``_blocks`` reads."""
+    lo, n, lengths = 0, len(slot), np.diff(offsets)
+    while lo < n:
+        hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + CACHED, side="right")) - 1)
+        row = [x.astype(np.int32).tobytes() for x in (slot[lo:hi], lengths[lo:hi], cells[offsets[lo] : offsets[hi]])]
+        yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in (*row, None)], names=["slots", "lengths", "cells", "part"])
+        lo = hi
 
 
 class Apart:
-    """Documents in a written table (slot, cells), each at its cluster; the table is written anew after a round, the one before it deleted."""
+    """Documents in a written table of blocks of them, each at its cluster.
+
+    The first pass of a round moves the documents and writes the table anew,
+    and what it counts beside it; the table before it is deleted.
+    """
 
-    def __init__(self, vectors: DataFrame):
-        self.said, self.written = vectors.filter("length(cells) > 0").select(F.lit(0).cast("bigint").alias("slot"), "cells"), False
+    def __init__(self, vectors: DataFrame, tasks: int):
+        self.said, self.tasks, self.written = vectors.select("cells").filter("length(cells) > 0"), tasks, False
+        # settings of the caller's session stay as they are
+        self.session = vectors.sparkSession.newSession()
+        for k, v in FEW.items():
+            self.session.conf.set(k, v)
 
-    def tally(self, clusters: np.ndarray, ways: np.ndarray, seeds: bool) -> Tally:
-        sent = self.said.sparkSession.sparkContext.broadcast((clusters, ways))
+    def tally(self, clusters: np.ndarray, ways: np.ndarray, seeds: bool, last: tuple | None = None) -> Tally:
+        sent, written = self.said.sparkSession.sparkContext.broadcast((clusters, ways, last)), self.written
+
+        def added(part: Tally, slot: np.ndarray, cells: np.ndarray, offsets: np.ndarray) -> None:
+            tally(part, cells, offsets, slot, *sent.value[:2], seeds)
+
+        def packed(part: Tally) -> pa.Array:
+            if part.left.max(initial=0) < 1 << 31:
+                part.left = part.left.astype(np.int32)
+            return pa.array([pickle.dumps(part)], pa.binary())
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            clusters, ways = sent.value
-            part = Tally.none(len(clusters))
-            for slot, cells, offsets in slices(batches, "cells"):
-                tally(part, cells, offsets, slot.to_numpy(), clusters, ways, seeds)
+            part = Tally.none(len(sent.value[0]))
+            for block in _blocks(batches):
+                added(part, *block)
             if part.n.any():
-                if part.left.max(initial=0) < 1 << 31:
-                    part.left = part.left.astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(part)])], names=["part"])
-
+                yield pa.RecordBatch.from_arrays([packed(part)], names=["part"])
+
+        def anew(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            part, last = Tally.none(len(sent.value[0])), sent.value[2]
+            for slot, cells, offsets in _gathered(_blocks(batches) if written else ((np.zeros(len(ids), np.int64), cells, offsets) for ids, cells, offsets in slices(batches, "cells"))):
+                if last:
+                    cells, offsets, slot = beside(cells, offsets, moved(cells, offsets, slot, *last))
+                added(part, slot, cells, offsets)
+                yield from _written(slot, cells, offsets)
+            if part.n.any():
+                none = pa.array([None], pa.binary())
+                yield pa.RecordBatch.from_arrays([none, none, none, packed(part)], names=["slots", "lengths", "cells", "part"])
+
+        said = self.said.coalesce(self.tasks)
+        if last or not written:
+            table = materialize(said.mapInArrow(anew, "slots binary, lengths binary, cells binary, part binary"), **BLOCKS)
+            if written:
+                forget(self.said)
+            else:
+                table = self.session.read.schema(table.schema).parquet(table.inputFiles()[0].rpartition("/")[0])
+            self.said, self.written = table.filter("cells is not null").select("slots", "lengths", "cells"), True
+            parts = table.filter("part is not null").select("part").coalesce(self.tasks)
+        else:
+            parts = said.mapInArrow(run, "part binary")
         out = Tally.none(len(clusters))
-        for r in self.said.filter(F.col("slot").isin(clusters.tolist())).coalesce(TASKS).mapInArrow(run, "part binary").collect():  # a row a task
+        for r in parts.collect():  # a row a task
             out += pickle.loads(r.part)
         sent.destroy()
         return out
 
-    def move(self, clusters: np.ndarray, ways: np.ndarray, others: np.ndarray) -> None:
-        sent = self.said.sparkSession.sparkContext.broadcast((clusters, ways, others))
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for slot, cells, offsets in slices(batches, "cells"):
-                new = moved(cells, offsets, slot.to_numpy(), *sent.value)
-                yield pa.RecordBatch.from_arrays([pa.array(new), _bytes(cells, offsets)], names=["slot", "cells"])
-
-        before, after = self.said, materialize(self.said.mapInArrow(run, "slot bigint, cells binary"))
-        sent.destroy()
+    def end(self) -> None:
         if self.written:
-            forget(before)
-        self.said, self.written = after, True
+            forget(self.said)
 
 
 def grow(documents: Together | Apart, leaves: int) -> Tree:
@@ -352,11 +457,9 @@ def grow(documents: Together | Apart, leaves: int) -> Tree:
         clusters = np.array([c for c in may[: leaves - len(size)] if loss[c] >= least], np.int64)
         if not len(clusters):
             break
-        if last is not None:
-            documents.move(*last)
         ways = np.array([np.subtract(*centre(np.array([seed(x) for x in seeds[c].values()]))) for c in clusters], np.float32)
         for i in range(ITERATIONS + 1):
-            got = documents.tally(clusters, ways, i == ITERATIONS)
+            got = documents.tally(clusters, ways, i == ITERATIONS, None if i else last)
             both = (got.n.reshape(-1, 2) > 0).all(1)
             for c in clusters[~both]:
                 open_[c] = False
@@ -421,9 +524,13 @@ def fit(vectors: DataFrame, leaves: int = LEAVES, together: int = TOGETHER) -> T
         cells, lengths = (np.concatenate(x) for x in zip(*lists, strict=True)) if lists else (np.zeros(0, np.int32), np.zeros(0, np.int64))
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(bisect_cells(cells, np.append(0, np.cumsum(lengths, dtype=np.int64)), leaves))])], names=["part"])
 
-    if (said.agg(F.sum(F.length("cells"))).first()[0] or 0) <= 4 * together:
+    n = (said.agg(F.sum(F.length("cells"))).first()[0] or 0) // 4
+    if n <= together:
         return pickle.loads(said.repartition(1).mapInArrow(whole, "part binary").first().part)
-    return grow(Apart(vectors), leaves)
+    documents = Apart(vectors, min(TASKS, -(-n // max(1, together))))
+    tree = grow(documents, leaves)
+    documents.end()
+    return tree
 
 
 def _weighted(tokens: np.ndarray, offsets: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -461,12 +568,13 @@ def term_counts(prepared: DataFrame, leaves: Leaves) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, tokens, offsets in slices(batches):
-            leaf, words = leaves.of(tokens, offsets), tokens != BREAK
-            term, code = np.unique(tokens[words], return_inverse=True)
+            leaf, said = leaves.of(tokens, offsets), tokens != BREAK
+            coded = pa.array(tokens[said]).dictionary_encode()
+            term, m = coded.dictionary.to_numpy(), max(1, len(coded.dictionary))
             # once per document, then once per leaf
-            own = np.unique(_of_document(offsets)[words] * max(1, len(term)) + code)
-            key, n = np.unique(leaf[own // max(1, len(term))] * max(1, len(term)) + own % max(1, len(term)), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(term[key % max(1, len(term))], pa.int64()), pa.array(key // max(1, len(term))), pa.array(n)], names=["term", "leaf", "n"])
+            own = np.unique(_of_document(offsets)[said] * m + coded.indices.to_numpy())
+            key, n = np.unique(leaf[own // m] * m + own % m, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(term[key % m], pa.int64()), pa.array(key // m), pa.array(n)], names=["term", "leaf", "n"])
 
     return prepared.mapInArrow(run, "term bigint, leaf bigint, n bigint").groupBy("term", "leaf").agg(F.sum("n").alias("n"))
 

@@ -70,15 +70,15 @@ def _remove(spark: SparkSession, path: str) -> None:
             shutil.rmtree(path.removeprefix("file://"), ignore_errors=True)
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Cut lineage: write ``df`` once to the shared folder and read it back.
+def materialize(df: DataFrame, **options: str) -> DataFrame:
+    """Cut lineage: write ``df`` once to the shared folder, with these options of the writer, and read it back.
 
     A written table, unlike a cached one, survives the loss of any executor
     and keeps its statistics and column pruning for the plans that read it.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.options(**{"compression": "zstd"} | options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

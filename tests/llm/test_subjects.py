@@ -94,6 +94,36 @@ def test_tree_is_fitted_on_every_document(spark, monkeypatch):
         assert tree.leaves == 16 and (tree.weights == every.weights).all() and (tree.left == every.left).all() and (tree.right == every.right).all()
 
 
+def test_a_pass_has_tasks_and_rows_by_cells(spark):
+    rng = random.Random(9)
+    rows = [(i, " ".join(rng.choices([f"{chr(97 + i % 6)}{chr(97 + j)}word" for j in range(12)], k=6))) for i in range(9000)]
+    prepared = S.prepare(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5))
+    said = S.vectors(prepared, S.inverse_frequencies(*S.document_frequencies(prepared)))
+    cells = said.agg(F.sum(F.length("cells"))).first()[0] // 4
+    context = spark.sparkContext
+    context.setJobGroup("passes", "")
+    try:
+        tree = S.fit(said, 6, together=cells // 2 + 1)
+        tracker = context.statusTracker()
+        tasks = [tracker.getStageInfo(s).numTasks for j in sorted(tracker.getJobIdsForGroup("passes")) for s in tracker.getJobInfo(j).stageIds if tracker.getStageInfo(s)]
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    # the sum of the cells comes before the passes
+    assert tree.leaves == 6 and len(tasks) > 20 and max(tasks[4:]) <= 2
+    documents = S.Apart(said, 2)
+    documents.tally(np.zeros(1, np.int64), np.zeros((1, S.DIMENSIONS), np.float32), True)
+    assert documents.said.count() <= cells / S.CACHED + 2
+    documents.end()
+
+
+def test_words_are_those_of_the_sentences():
+    rng = random.Random(2)
+    odd = ["", ",", "a\n\nbc", "...", ".bc . de", "ab.\u2009cd.\u200bef", "É.\x85Ab?\x1cc", "```x. y", "it`s. `no"] + ["".join(rng.choices("aB, \n.!?`\\&;é„\u200b\xa0\u3000\x0b\x1c\x85ß", k=40)) for _ in range(500)]
+    for text in odd:
+        want = [x.split() for x in sentences(text) if x.split()]
+        assert [x.split() for x in S.words(text).split(S.MARK) if x.split()] == want
+
+
 def test_empty_and_unlabelled(spark):
     none = spark.createDataFrame([], "doc_id bigint, text string")
     labels = spark.createDataFrame([], "doc_id bigint, subject string")

@@ -6,7 +6,8 @@
    inverse document frequency over all documents and normalised, in whole
    numbers, written once. Bisecting k-means under the cosine distance is
    fitted on all of them: a round divides many clusters, and each iteration of
-   a round is one pass over the vectors that leaves a sum a cluster. Sums of whole numbers are exact, so
+   a round is one pass over the vectors, in blocks, that leaves a sum a
+   cluster; the first also moves the documents. Sums of whole numbers are exact, so
    the tree is the same however the table is laid out, and the same where few
    vectors are fitted within one task. The tree is a constant (``LEAVES`` - 1
    splits); every document goes down it.
@@ -175,8 +176,8 @@ def _of_document(offsets: np.ndarray) -> np.ndarray:
 
 def counted(tokens: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(document, dimension, count), in the order of the documents."""
-    words = tokens != BREAK
-    key, n = np.unique(_of_document(offsets)[words] * DIMENSIONS + (tokens[words] & (DIMENSIONS - 1)), return_counts=True)
+    said = tokens != BREAK
+    key, n = np.unique(_of_document(offsets)[said] * DIMENSIONS + (tokens[said] & (DIMENSIONS - 1)), return_counts=True)
     return key // DIMENSIONS, key % DIMENSIONS, n
 
 
@@ -269,9 +270,10 @@ def _divided(cells: np.ndarray, offsets: np.ndarray, slot: np.ndarray, clusters:
         if len(d) < len(at):
             part, at, lengths = part[np.repeat(at >= 0, lengths)], at[d], lengths[d]
         if len(d):
-            key = np.repeat(at * DIMENSIONS, lengths) + (part >> 16)
+            key = np.repeat(at * DIMENSIONS, lengths)
+            key += part >> 16
             value = (part & 0xFFFF).astype(np.float64)
-            left = np.add.reduceat(ways.reshape(-1)[key] * value, np.cumsum(lengths) - lengths) >= 0
+            left = np.add.reduceat(ways.reshape(-1).take(key) * value, np.cumsum(lengths) - lengths) >= 0
             yield lo + d, at, left, lengths, key, value
         lo = hi
 
@@ -281,8 +283,9 @@ def tally(out: Tally, cells: np.ndarray, offsets: np.ndarray, slot: np.ndarray,
     if seeds:
         # any order will do that does not hang on the layout
         mixed = (cells.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-        mixed = np.append(np.uint64(0), np.cumsum((mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)))
-        h = mixed[offsets[1:]] - mixed[offsets[:-1]]
+        mixed ^= mixed >> np.uint64(29)
+        mixed *= np.uint64(0xBF58476D1CE4E5B9)
+        h = np.add.reduceat(mixed, offsets[:-1]) if len(slot) else mixed
     for d, at, left, lengths, key, value in _divided(cells, offsets, slot, clusters, ways):
         side = 2 * at + ~left
         out.n += np.bincount(side, minlength=len(out.n))
@@ -327,7 +330,7 @@ class Together:
         if last:
             self.cells, self.offsets, self.slot = beside(self.cells, self.offsets, moved(self.cells, self.offsets, self.slot, *last))
         out = Tally.none(len(clusters))
-        tally(out, self.cells, self.offsets, self.slot, clusters, ways, seeds)
+        tally(out, self.cells, self.offsets, self.slot, clusters, ways.astype(np.float64), seeds)
         return out
 
 
@@ -383,27 +386,26 @@ class Apart:
     def tally(self, clusters: np.ndarray, ways: np.ndarray, seeds: bool, last: tuple | None = None) -> Tally:
         sent, written = self.said.sparkSession.sparkContext.broadcast((clusters, ways, last)), self.written
 
-        def added(part: Tally, slot: np.ndarray, cells: np.ndarray, offsets: np.ndarray) -> None:
-            tally(part, cells, offsets, slot, *sent.value[:2], seeds)
-
         def packed(part: Tally) -> pa.Array:
             if part.left.max(initial=0) < 1 << 31:
                 part.left = part.left.astype(np.int32)
             return pa.array([pickle.dumps(part)], pa.binary())
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            part = Tally.none(len(sent.value[0]))
-            for block in _blocks(batches):
-                added(part, *block)
+            clusters, ways, _ = sent.value
+            part, ways = Tally.none(len(clusters)), ways.astype(np.float64)
+            for slot, cells, offsets in _blocks(batches):
+                tally(part, cells, offsets, slot, clusters, ways, seeds)
             if part.n.any():
                 yield pa.RecordBatch.from_arrays([packed(part)], names=["part"])
 
         def anew(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            part, last = Tally.none(len(sent.value[0])), sent.value[2]
+            clusters, ways, last = sent.value
+            part, ways = Tally.none(len(clusters)), ways.astype(np.float64)
             for slot, cells, offsets in _gathered(_blocks(batches) if written else ((np.zeros(len(ids), np.int64), cells, offsets) for ids, cells, offsets in slices(batches, "cells"))):
                 if last:
                     cells, offsets, slot = beside(cells, offsets, moved(cells, offsets, slot, *last))
-                added(part, slot, cells, offsets)
+                tally(part, cells, offsets, slot, clusters, ways, seeds)
                 yield from _written(slot, cells, offsets)
             if part.n.any():
                 none = pa.array([None], pa.binary())
@@ -666,8 +668,11 @@ def assign_shipped(prepared: DataFrame, leaves: Leaves, terms: DataFrame, mixtur
             n = len(ids)
             leaf, own = leaves.of(tokens, offsets), _of_document(offsets)
             line = np.cumsum(tokens == BREAK) - (tokens == BREAK)
-            at = np.minimum(np.searchsorted(term, tokens), max(0, len(term) - 1))
-            hit = np.flatnonzero(term[at] == tokens) if len(term) else np.zeros(0, np.int64)
+            coded = pa.array(tokens).dictionary_encode()
+            every = coded.dictionary.to_numpy()
+            at = np.minimum(np.searchsorted(term, every), max(0, len(term) - 1))
+            at = (np.where(term[at] == every, at, -1) if len(term) else np.full(len(every), -1))[coded.indices.to_numpy()]
+            hit = np.flatnonzero(at >= 0)
             lines, first = np.unique(line[hit], return_index=True)
             total = np.add.reduceat(score[at[hit]], first) if len(hit) else np.zeros((0, m))
             document = own[hit[first]]
